@@ -16,7 +16,7 @@ def label_lines(text: Column) -> Column:
 
 def usable_signature(text: Column) -> Column:
     """True where every line has a class and four finite numbers; the empty text is usable, null is not."""
-    return F.coalesce(F.forall(label_lines(text), lambda line: line.rlike(f"^{_LINE}$")), F.lit(False))
+    return F.coalesce(F.forall(label_lines(text), lambda line: line.rlike(rf"^{_LINE}\z")), F.lit(False))
 
 
 def boxes_of(text: Column) -> Column:
@@ -32,4 +32,4 @@ def boxes_of(text: Column) -> Column:
 
 def good_line_count(text: Column) -> Column:
     """How many lines have a class and four finite numbers."""
-    return F.size(F.filter(label_lines(F.coalesce(text, F.lit(""))), lambda line: line.rlike(f"^{_LINE}$")))
+    return F.size(F.filter(label_lines(F.coalesce(text, F.lit(""))), lambda line: line.rlike(rf"^{_LINE}\z")))

@@ -42,6 +42,7 @@ def plain_name(text: Column) -> Column:
     name = F.lower(strip_blanks(narrow(text)))
     name = F.regexp_replace(name, f"{_BLANK}*:{_BLANK}*", ":")
     name = F.regexp_replace(name, f"{_HYPHEN}|{_BLANK}", "_")
+    name = F.when(text.rlike(r"^[a-z0-9_:]+\z"), text).otherwise(name)
     return F.when(~name.isin(PLACEHOLDERS), name)
 
 
@@ -75,8 +76,10 @@ def digest_hex(text: Column) -> Column:
     base = F.regexp_replace(F.translate(bare, "-_", "+/"), "=+$", "")
     decoded = F.lower(F.hex(F.unbase64(F.concat(base, F.lit("=")))))
     return (
-        F.when(hexed.rlike("^[0-9a-f]{16,64}$"), hexed)
-        .when(base.rlike("^[A-Za-z0-9+/]{43}$"), decoded)
+        # the usual form needs no mending
+        F.when(text.rlike(r"^[0-9a-f]{64}\z"), text)
+        .when(hexed.rlike(r"^[0-9a-f]{16,64}\z"), hexed)
+        .when(base.rlike(r"^[A-Za-z0-9+/]{43}\z"), decoded)
     )
 
 

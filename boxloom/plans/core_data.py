@@ -27,4 +27,25 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_compacted": p3_compacted, "p3_report": p3_report}
-SQL: dict[str, str] = {}
+
+_BLANKS = r"[\s' || chr(160) || '\t]"
+
+
+def _place(c: str) -> str:
+    """A path without escapes, back and double slashes and ``.`` and ``..`` steps, as SQL."""
+    out = f"replace(url_decode(replace(regexp_replace({c}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g'), '+', '%2B')), chr(92), '/')"
+    out = f"regexp_replace('/' || {out}, '/(\\./|/)+', '/', 'g')"
+    for _ in range(3):
+        out = f"regexp_replace({out}, '/[^/]+/\\.\\./', '/')"
+    return f"ltrim({out}, '/')"
+
+
+_P3 = f"""
+WITH p AS (
+  SELECT file_id, CASE WHEN label IS NOT NULL AND trim(label) <> '' THEN {_place('label')}
+    WHEN image IS NOT NULL AND trim(image) <> '' THEN regexp_replace(regexp_replace({_place('image')}, '^(.*/|)images/', '\\1labels/'), '\\.[^./]*$', '') || '.txt' END AS path
+  FROM label_files
+)
+SELECT a.file_id AS file_id_a, b.file_id AS file_id_b FROM p a JOIN p b ON a.path = b.path AND a.file_id < b.file_id
+"""
+SQL = {"p3_found": _P3}
