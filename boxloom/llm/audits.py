@@ -13,9 +13,11 @@ def whole_digests(digests: DataFrame) -> DataFrame:
     """``digest, whole``: for each digest cut short (column ``digest``), the longer one that it begins.
 
     A cut digest that begins two different complete ones is ambiguous and stands for itself, as does one that begins
-    none; where there is no complete one, the longest cut one is taken. Digests meet on their first 16 digits.
+    none; where there is no complete one, the longest cut one is taken. Digests meet on their first 16 digits, and
+    one exchange on these serves the distinct rows and both sides of the join.
     """
-    each = digests.filter("digest is not null").select("digest").distinct().withColumn("head", F.substring("digest", 1, 16))
+    head = F.conv(F.substring("digest", 1, 16), 16, -10).cast("bigint").alias("head")
+    each = digests.filter("digest is not null").select("digest", head).repartition("head").distinct()
     cut = each.filter(F.length("digest") < 64).select("head", F.col("digest").alias("cut"))
     longer = cut.join(each, "head").filter((F.length("digest") > F.length("cut")) & F.expr("startswith(digest, cut)"))
     full = F.when(F.length("digest") == 64, F.col("digest"))
@@ -34,7 +36,9 @@ def audit_records(audit: DataFrame, fields: dict) -> DataFrame:
     return flat.groupBy("record_id").agg(F.max(F.struct("digest", *fields)).alias("m")).select("record_id", "m.digest", *[f"m.{n}" for n in fields])
 
 
-def with_whole_digest(records: DataFrame) -> DataFrame:
-    """``records`` with cut digests replaced by those that they begin."""
-    known = whole_digests(records)
-    return lookup(records, known, "digest").withColumn("digest", F.coalesce("whole", "digest")).drop("whole")
+def with_whole_digest(records: DataFrame, audit: DataFrame) -> DataFrame:
+    """``records`` with cut digests replaced by those that they begin; only rows with a cut digest are looked up."""
+    known = whole_digests(audit.select(digest_hex(F.col("image_sha256")).alias("digest")))
+    is_cut = F.coalesce(F.length("digest") < 64, F.lit(False))
+    mended = lookup(records.filter(is_cut), known, "digest").withColumn("digest", F.coalesce("whole", "digest"))
+    return records.filter(~is_cut).unionByName(mended.select(*records.columns))

@@ -42,17 +42,20 @@ SKETCH = 1 << 12
 GRID = 0.1
 
 
-def split_records(audit: DataFrame) -> DataFrame:
-    """``record_id, digest, split, source, thumb, boxes`` of records with a usable split."""
-    fields = {"split": usable_split(F.col("r.old_split")), "source": F.col("r.source_id"), "thumb": F.lower("r.thumb_sig"), "label": F.col("r.label_signature")}
-    rows = with_whole_digest(audit_records(audit, fields).filter("split is not null"))
+def split_records(audit: DataFrame, with_source: bool = False) -> DataFrame:
+    """``record_id, digest, split, thumb, boxes`` (and ``source``) of records with a usable split; digest and thumbnail as bytes."""
+    thumb = F.when(F.col("r.thumb_sig").rlike(r"^[0-9A-Fa-f]{64}\z"), F.unhex("r.thumb_sig"))
+    fields = {"split": usable_split(F.col("r.old_split")), "thumb": thumb, "label": F.col("r.label_signature")} | ({"source": F.col("r.source_id")} if with_source else {})
+    rows = with_whole_digest(audit_records(audit, fields).filter("split is not null"), audit)
     boxes = F.transform(boxes_of(F.col("label")), lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")))
-    return rows.select("record_id", "digest", "split", "source", F.when(F.col("thumb").rlike("^[0-9a-f]{64}$"), F.col("thumb")).alias("thumb"), F.array_sort(boxes).alias("boxes"))
+    # half the bytes of the hex form; the length keeps digests that were cut apart from whole ones
+    digest = F.unhex(F.concat(F.lpad(F.col("digest"), 64, "0"), F.lpad(F.hex(F.length("digest")), 2, "0")))
+    return rows.select("record_id", digest.alias("digest"), "split", "thumb", F.array_sort(boxes).alias("boxes"), *(["source"] if with_source else []))
 
 
 def _halves() -> list[Column]:
     """The thumbnail as four signed 64-bit numbers."""
-    return [F.conv(F.substring("thumb", 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]
+    return [F.conv(F.substring("cells", 16 * i + 1, 16), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]
 
 
 def different_cells(a: str, b: str) -> Column:
@@ -77,14 +80,14 @@ def vectors(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = settle(members)
     first = members.filter("record_id = vid").select("vid", "in_train", "in_eval")
     payload = usable.select(F.col("record_id").alias("vid"), "thumb", "boxes").join(first, "vid")
-    return settle(payload), members
+    return settle(payload.withColumn("cells", F.hex("thumb")).drop("thumb")), members
 
 
 def _terms() -> Column:
     """All terms of a thumbnail as ``array<struct<block, hash>>``."""
     out, at = [], 1
     for i, n in enumerate(BLOCKS):
-        out.append(F.struct(F.lit(n).alias("cells"), F.xxhash64(F.lit(i), F.substring("thumb", at, n)).alias("term")))
+        out.append(F.struct(F.lit(n).alias("cells"), F.xxhash64(F.lit(i), F.substring("cells", at, n)).alias("term")))
         at += n
     return F.array(*out)
 
@@ -193,7 +196,7 @@ def overlap_report(audit: DataFrame) -> DataFrame:
 
     Counted per record by semi-joins; groups of copies are never expanded into pairs. Source null counts as a source.
     """
-    records = settle(split_records(audit))
+    records = settle(split_records(audit, with_source=True))
     vecs, members = vectors(records)
     close = near_vectors(vecs)
     exact = records.filter("split = 'train' and digest is not null").select("digest").distinct().withColumn("same_file", F.lit(True))
