@@ -111,7 +111,7 @@ def radix_percentiles(values: DataFrame, targets: DataFrame, exact: bool = False
     state = totals.join(wanted, "measure").select("grp", "measure", "pct", "error", "total", rank.alias("rank"), F.lit(top).cast("bigint").alias("above"), F.col("total").alias("n"))
     state, done = settle(state), []
     # a value of a digit with n values is at most n - 1 ranks off
-    fine = F.col("n") - 1 <= F.col("error") * F.col("total")
+    fine = (F.col("error") > 0) & (F.col("n") - 1 <= F.col("error") * F.col("total"))
     result = lambda df, low: df.select("grp", "measure", "pct", "total", F.shiftleft("above", low).alias("lo"), (F.shiftleft(F.col("above") + 1, low) - 1).alias("hi"), F.when(F.lit(low == 0), 0.0).otherwise((F.col("n") - 1) / F.col("total")).alias("rank_error"))
     while shift:
         shift -= DIGIT_BITS
