@@ -209,7 +209,9 @@ def assign(cost: np.ndarray, limit: float = np.inf) -> list[tuple[int, int]]:
 def per_image(predictions: DataFrame, truth: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``fn(run_id, image_id, predictions, truth)`` over the boxes of each run and image, for sequential matchers."""
     seen = predictions.select("run_id", "image_id").distinct()
-    t = seen.join(truth, "image_id")
+    both = seen.join(truth, "image_id")
+    # fresh names, as both sides of the cogroup come from the same table
+    t = both.select(*[F.col(c).alias(f"_{c}") for c in both.columns]).toDF(*both.columns)
 
     def each(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         return fn(key[0], key[1], p.sort_values("det"), g.sort_values("gt"))
@@ -258,9 +260,9 @@ def fixed_errors(predictions: DataFrame, truth: DataFrame, score: float = 0.25,
     best = pairs.groupBy("run_id", "image_id", "det").agg(F.max("iou").alias("best"))
     marked = strong.join(hit.select("run_id", "image_id", "det", F.lit(1).alias("hit")), ["run_id", "image_id", "det"], "left").join(best, ["run_id", "image_id", "det"], "left")
     counts = marked.groupBy("run_id").agg(
-        F.count_if("hit = 1").alias("hits"),
-        F.count_if("hit is null and best >= {}".format(near)).alias("localisation"),
-        F.count_if("hit is null and coalesce(best, 0) < {}".format(near)).alias("background"),
+        F.count_if(F.expr("hit = 1")).alias("hits"),
+        F.count_if(F.expr(f"hit is null and best >= {near}")).alias("localisation"),
+        F.count_if(F.expr(f"hit is null and coalesce(best, 0) < {near}")).alias("background"),
     )
     wanted = predictions.select("run_id", "image_id").distinct().join(truth.select("image_id", "gt"), "image_id").groupBy("run_id").agg(F.count(F.lit(1)).alias("wanted"))
     both = wanted.join(counts, "run_id", "full")
