@@ -10,22 +10,14 @@ from boxloom.operators import detections as D
 from boxloom.operators import matching as M
 from boxloom.operators import metrics as E
 from boxloom.plans import shared_sql as S
+from boxloom.plans.registry import Registry
 from boxloom.runtime import read_table
 
-QUERIES, SQL = {}, {}
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
 _T = [0.5, 0.75]
 
 
-def query(sql: str | None = None):
-    def keep(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return keep
-
-
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.truth_boxes(read_table(spark, sf_dir, "image_records")).withColumn("gt", F.col("box_no"))
 
