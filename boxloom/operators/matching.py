@@ -89,31 +89,24 @@ def _iou_matrix(a: np.ndarray, b: np.ndarray, eps: float = 1e-7) -> np.ndarray:
     return inter / (area(a)[:, None] + area(b)[None, :] - inter + eps)
 
 
-def greedy_keep(boxes: np.ndarray, limit: float) -> np.ndarray:
-    """Indices kept by sequential suppression of boxes in rank order: what overlaps a kept box by more than ``limit`` goes."""
-    left, kept = np.arange(len(boxes)), []
-    while len(left):
-        kept.append(left[0])
-        over = _iou_matrix(boxes[left[:1]], boxes[left[1:]])[0]
-        left = left[1:][over <= limit]
-    return np.array(kept, dtype=int)
-
-
 def greedy_nms(ranked: DataFrame, limit: float, most: int = 300, candidates: int = 30_000) -> DataFrame:
     """Sequential suppression per run, image and class, then at most ``most`` boxes per image by score.
 
-    The order is inherent, so it runs per image and class in Arrow batches; a group holds the boxes of one image,
-    cut to the ``candidates`` best ones, which is part of the operator.
+    What overlaps a kept box by more than ``limit`` goes. The order is inherent, so the boxes of one image and class
+    (at most ``candidates``, which is part of the operator) are folded in rank order; the fold stays in the JVM and
+    stops keeping after ``most`` boxes, as no more can survive the limit per image.
     """
     keys = ["run_id", "image_id", "cls"]
-    schema = ranked.select(*keys, "det", "score", "x1", "y1", "x2", "y2").schema
+    box = F.struct("det", "score", "x1", "y1", "x2", "y2")
+    kind = "array<struct<det:int,score:double,x1:double,y1:double,x2:double,y2:double>>"
+    listed = ranked.filter(F.col("det") <= candidates).groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    corners = lambda b: (b["x1"], b["y1"], b["x2"], b["y2"])
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("det")
-        return pdf.iloc[greedy_keep(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), limit)]
+    def take(kept, b):
+        beaten = F.exists(kept, lambda k: B.iou(corners(k), corners(b)) > limit)
+        return F.when(beaten | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(b)))
 
-    top = ranked.filter(F.col("det") <= candidates)
-    kept = top.select(*schema.names).groupBy(*keys).applyInPandas(keep, schema)
+    kept = listed.select(*keys, F.explode(F.aggregate("boxes", F.array().cast(kind), take)).alias("b")).select(*keys, "b.*")
     w = Window.partitionBy("run_id", "image_id").orderBy("det")
     return kept.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
 
@@ -206,41 +199,53 @@ def assign(cost: np.ndarray, limit: float = np.inf) -> list[tuple[int, int]]:
     return sorted((i, j) for i, j in pairs if i < n and j < m and cost[i, j] <= limit)
 
 
-def per_image(predictions: DataFrame, truth: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn(run_id, image_id, predictions, truth)`` over the boxes of each run and image, for sequential matchers."""
+def per_image(predictions: DataFrame, truth: DataFrame, fn: Callable, columns: list[str], schema: str, images_per_task: int = 5_000) -> DataFrame:
+    """``fn(predictions, truth)`` over the boxes of each run and image, for sequential matchers.
+
+    ``fn`` gets two frames ordered by ``det`` and ``gt`` and gives rows without the two keys. About
+    ``images_per_task`` images travel together, as a batch per image would cost more than its work.
+    """
     seen = predictions.select("run_id", "image_id").distinct()
-    both = seen.join(truth, "image_id")
+    buckets = max(1, -(-seen.count() // images_per_task))
+    bucket = F.pmod(F.xxhash64("run_id", "image_id"), F.lit(buckets)).alias("bucket")
+    p = predictions.select("*", bucket)
+    both = seen.join(truth, "image_id").select("*", bucket)
     # fresh names, as both sides of the cogroup come from the same table
     t = both.select(*[F.col(c).alias(f"_{c}") for c in both.columns]).toDF(*both.columns)
 
-    def each(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        return fn(key[0], key[1], p.sort_values("det"), g.sort_values("gt"))
+    def each(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        truths = {k: v.sort_values("gt") for k, v in g.groupby(["run_id", "image_id"])} if len(g) else {}
+        none = g.iloc[:0]
+        out = []
+        for k, v in p.groupby(["run_id", "image_id"]):
+            out += [(*k, *row) for row in fn(v.sort_values("det"), truths.get(k, none))]
+        return pd.DataFrame(out, columns=["run_id", "image_id", *columns])
 
-    return predictions.groupBy("run_id", "image_id").cogroup(t.groupBy("run_id", "image_id")).applyInPandas(each, schema)
+    return p.groupBy("bucket").cogroup(t.groupBy("bucket")).applyInPandas(each, schema)
 
 
 def greedy_hits(predictions: DataFrame, truth: DataFrame, limit: float = 0.5) -> DataFrame:
     """``run_id, image_id, tp, fp, fn`` by the confidence-greedy matcher, and ``tp_overlap`` by the overlap-first one."""
 
-    def count(run: str, image: str, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+    def count(p: pd.DataFrame, g: pd.DataFrame) -> list[tuple]:
         cols = ["x1", "y1", "x2", "y2"]
         ious = _iou_matrix(p[cols].to_numpy(float), g[cols].to_numpy(float)) if len(p) and len(g) else np.zeros((len(p), len(g)))
         tp = sum(k >= 0 for k in confident_match(ious, limit))
-        return pd.DataFrame([(run, image, tp, len(p) - tp, len(g) - tp, len(overlap_first_match(ious, limit)))], columns=["run_id", "image_id", "tp", "fp", "fn", "tp_overlap"])
+        return [(tp, len(p) - tp, len(g) - tp, len(overlap_first_match(ious, limit)))]
 
-    return per_image(predictions, truth, count, "run_id string, image_id string, tp int, fp int, fn int, tp_overlap int")
+    return per_image(predictions, truth, count, ["tp", "fp", "fn", "tp_overlap"], "run_id string, image_id string, tp int, fp int, fn int, tp_overlap int")
 
 
 def set_match(predictions: DataFrame, truth: DataFrame, width: float = 5.0, overlap: float = 2.0) -> DataFrame:
     """Optimal assignment per image with cost = ``width`` x mean corner distance / 1000 + ``overlap`` x (1 - IoU): ``run_id, image_id, det, gt``."""
 
-    def match(run: str, image: str, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+    def match(p: pd.DataFrame, g: pd.DataFrame) -> list[tuple]:
         cols = ["x1", "y1", "x2", "y2"]
         a, b = p[cols].to_numpy(float), g[cols].to_numpy(float)
         pairs = assign(width * np.abs(a[:, None] - b[None]).mean(2) / 1000 + overlap * (1 - _iou_matrix(a, b))) if len(a) and len(b) else []
-        return pd.DataFrame([(run, image, int(p["det"].iloc[i]), int(g["gt"].iloc[j])) for i, j in pairs], columns=["run_id", "image_id", "det", "gt"])
+        return [(int(p["det"].iloc[i]), int(g["gt"].iloc[j])) for i, j in pairs]
 
-    return per_image(predictions, truth, match, "run_id string, image_id string, det int, gt int")
+    return per_image(predictions, truth, match, ["det", "gt"], "run_id string, image_id string, det int, gt int")
 
 
 def best_prediction(predictions: DataFrame, truth: DataFrame) -> DataFrame:
