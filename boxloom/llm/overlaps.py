@@ -24,6 +24,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from boxloom.functions.labels import boxes_of
 from boxloom.functions.names import source_name, usable_split
@@ -121,41 +122,40 @@ def _grid_cells(mean: Column, reach: float) -> Column:
     return F.sequence(lo, hi)
 
 
-@F.pandas_udf("boolean")
-def boxes_pair_off(a: pd.Series, b: pd.Series) -> pd.Series:
+def pair_off(x: list, y: list) -> bool:
     """Whether two box lists pair off one to one within the tolerance (augmenting paths)."""
-
-    def pair(x, y) -> bool:
-        if len(x) != len(y):
-            return False
-        near = [[j for j, q in enumerate(y) if all(abs(p[k] - q[k]) <= TOLERANCE + _SLACK for k in ("x", "y", "w", "h"))] for p in x]
-        owner: dict[int, int] = {}
-
-        def place(i: int) -> bool:
-            # iterative search for an augmenting path from box i
-            stack, came, seen = [i], {}, set()
-            while stack:
-                p = stack.pop()
-                for j in near[p]:
-                    if j in seen:
-                        continue
-                    seen.add(j)
+    if len(x) != len(y):
+        return False
+    near = [[j for j, q in enumerate(y) if all(abs(p[k] - q[k]) <= TOLERANCE + _SLACK for k in ("x", "y", "w", "h"))] for p in x]
+    owner: dict[int, int] = {}
+    holds: dict[int, int] = {}
+    for i in range(len(x)):
+        came: dict[int, int] = {}
+        open_, free = [i], None
+        while open_ and free is None:
+            p = open_.pop()
+            for j in near[p]:
+                if j not in came:
                     came[j] = p
                     if j not in owner:
-                        while True:
-                            p = came[j]
-                            before = next((k for k, v in owner.items() if v == p), None)
-                            owner[j] = p
-                            if p == i:
-                                return True
-                            del owner[before]
-                            j = before
-                    stack.append(owner[j])
+                        free = j
+                        break
+                    open_.append(owner[j])
+        if free is None:
             return False
+        # along the path every box moves on to the place found for it
+        while True:
+            p = came[free]
+            before = holds.get(p)
+            owner[free], holds[p] = p, free
+            if p == i:
+                break
+            free = before
+    return True
 
-        return all(place(i) for i in range(len(x)))
 
-    return pd.Series([pair(list(x), list(y)) for x, y in zip(a, b)], dtype="bool")
+def _pairs_off(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([pair_off(list(x), list(y)) for x, y in zip(a, b)], dtype="bool")
 
 
 def near_vectors(vecs: DataFrame) -> DataFrame:
@@ -176,7 +176,8 @@ def near_vectors(vecs: DataFrame) -> DataFrame:
     right = load.select(F.col("vid").alias("vid_eval"), F.struct("q0", "q1", "q2", "q3").alias("b"), F.col("boxes").alias("boxes_b"))
     close = candidates.join(left, "vid_train").join(right, "vid_eval").withColumn("dot", (F.lit(CELLS) - different_cells("a", "b")) / CELLS)
     close = close.filter(F.col("dot") >= (CELLS - MOST_DIFFERENT) / CELLS)
-    return settle(close.filter(boxes_pair_off("boxes_a", "boxes_b")).select("vid_train", "vid_eval", "dot"))
+    agrees = F.pandas_udf(_pairs_off, BooleanType())
+    return settle(close.filter(agrees("boxes_a", "boxes_b")).select("vid_train", "vid_eval", "dot"))
 
 
 def overlap_pairs(audit: DataFrame) -> DataFrame:

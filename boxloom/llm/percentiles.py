@@ -43,7 +43,8 @@ def value_of(key: Column) -> Column:
     m = F.abs(key)
     e = F.shiftright(m, 52)
     low = m - F.greatest(e - 1, F.lit(0)) * F.lit(1 << 52)
-    x = low.cast("double") * F.pow(F.lit(2.0), F.greatest(e - 1, F.lit(0)).cast("double") - 1022) * F.pow(F.lit(2.0), F.lit(-52.0))
+    # the fraction first, so that nothing overflows on the way
+    x = low.cast("double") * F.lit(2.0**-52) * F.pow(F.lit(2.0), F.greatest(e - 1, F.lit(0)).cast("double") - 1022)
     x = F.when(e >= 0x7FF, F.lit(float("inf"))).otherwise(x)
     return F.when(key < 0, -x).otherwise(x)
 
