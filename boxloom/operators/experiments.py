@@ -99,3 +99,14 @@ def resample(log: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
     at = cut.withColumn("i", F.explode(F.sequence("a", "b"))).withColumn("x", F.col("lo") + F.col("i") * step)
     value = F.when(F.col("x0").isNull(), F.col("y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
     return at.select("run_id", "i", "x", value.alias("y"))
+
+
+def reject_low(values: DataFrame, value: str, sigmas: float = 3.0, rounds: int = 3) -> DataFrame:
+    """Rows at or above ``sigmas`` population deviations under the mean, ``rounds`` times over; one side only."""
+    now = values
+    for _ in range(rounds):
+        floor = now.agg((F.avg(value) - sigmas * F.stddev_pop(value)).alias("f")).first()["f"]
+        if floor is None:
+            break
+        now = now.filter(F.col(value) >= floor)
+    return now

@@ -97,3 +97,20 @@ def smoothed(values: DataFrame, keys: list[str], order: str, value: str, half: i
     for i in range(1, half + 1):
         at += [F.coalesce(F.lag(value, i).over(w), first), F.coalesce(F.lead(value, i).over(w), final)]
     return values.withColumn("smooth", reduce(lambda a, b: a + b, at) / (2 * half + 1))
+
+
+def gaussian(values: DataFrame, keys: list[str], order: str, value: str, sigma: float, reach: float = 3.0) -> DataFrame:
+    """Weighted mean over a Gaussian of ``sigma`` rows, cut at ``reach`` deviations, mirrored at the ends.
+
+    Rows meet their neighbours by an equi-join on the mirrored position, so cost is linear in the rows.
+    """
+    half = int(reach * sigma + 0.5)
+    w = Window.partitionBy(*keys)
+    numbered = values.withColumn("_i", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count(F.lit(1)).over(w))
+    spread = numbered.select(*keys, order, "_n", "_i", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_o"))
+    at = F.col("_i") + F.col("_o")
+    mirrored = F.when(at < 1, 1 - at).when(at > F.col("_n"), 2 * F.col("_n") + 1 - at).otherwise(at)
+    spread = spread.withColumn("_at", mirrored.cast("int")).withColumn("_g", F.exp(-0.5 * F.pow(F.col("_o") / sigma, 2)))
+    other = numbered.select(*keys, F.col("_i").alias("_at"), F.col(value).alias("_v"))
+    both = spread.join(other, [*keys, "_at"])
+    return both.groupBy(*keys, order).agg((F.sum(F.col("_g") * F.col("_v")) / F.sum("_g")).alias("smooth"))

@@ -41,8 +41,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """``path, body`` of label text files below a folder, whole files."""
     if not exists(spark, path):
         return spark.createDataFrame([], "path string, body string")
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
-    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return files.select("path", F.decode("content", "UTF-8").alias("body"))
 
 
 def with_labels(images: DataFrame, labels: DataFrame) -> DataFrame:

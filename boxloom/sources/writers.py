@@ -62,8 +62,13 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    rows = spark.read.option("wholetext", True).text(path).collect()
-    return rows[0][0] if rows else ""
+    """A small text file, hidden ones included."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def put_json(spark: SparkSession, path: str, value: object) -> None:
