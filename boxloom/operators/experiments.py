@@ -54,9 +54,10 @@ def early_stop(log: DataFrame, metric: str, patience: int) -> DataFrame:
     return held.filter(F.col("epoch") - F.col("best_at") >= patience).groupBy(*KEYS).agg(F.min("epoch").alias("stop_epoch"), F.min_by("best_at", "epoch").alias("best_at"))
 
 
-def decision(delta: Column, cost: Column, gain: float = 0.5, slack: float = -0.2) -> Column:
-    """``accuracy`` if the gain is reached, ``efficiency`` if the loss is small and the cost is known and lower, else ``reject``."""
-    return F.when(delta >= gain, "accuracy").when((delta >= slack) & cost.isNotNull() & (cost < 0), "efficiency").otherwise("reject")
+def decision(delta: Column, cost: Column, gain: float = 0.3, slack: float = -0.1, saving: float = -10.0) -> Column:
+    """``accuracy`` if the gain in points is reached; ``efficiency`` if the loss stays within ``slack`` and the cost is
+    known and lower by the saving in percent; else ``threshold_not_met``. An unknown cost can't pass."""
+    return F.when(delta >= gain, "accuracy").when((delta >= slack) & cost.isNotNull() & (cost <= saving), "efficiency").otherwise("threshold_not_met")
 
 
 def child_parent(runs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -76,6 +77,15 @@ def factorial(cells: DataFrame) -> DataFrame:
     return whole.select("seed", pp(F.col("a") - F.col("base")).alias("effect_a"), pp(F.col("b") - F.col("base")).alias("effect_b"), pp(F.col("ab") - F.col("base")).alias("effect_ab"), pp((F.col("ab") - F.col("b")) - (F.col("a") - F.col("base"))).alias("interaction"))
 
 
+def replication(effects: DataFrame, discovery: int, value: str = "interaction", practical: float = 0.3) -> DataFrame:
+    """One row: how an effect seen at one seed holds at the others. Directional if all are positive, stable if their mean reaches ``practical``."""
+    held = F.when(F.col("seed") != discovery, F.col(value))
+    return effects.agg(
+        F.max(F.when(F.col("seed") == discovery, F.col(value))).alias("discovered"), F.count(held).alias("held_out"), F.avg(held).alias("held_out_mean"), F.stddev_samp(held).alias("held_out_sd"),
+        F.coalesce(F.min(held) > 0, F.lit(False)).alias("directional"), F.coalesce(F.avg(held) >= practical, F.lit(False)).alias("stable"),
+    )
+
+
 def straight_line(log: DataFrame, y: str, x: str = "epoch") -> DataFrame:
     """Least squares line per run over rows where ``y`` is above all earlier ones."""
     w = Window.partitionBy(*KEYS).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)

@@ -273,3 +273,25 @@ def fixed_errors(predictions: DataFrame, truth: DataFrame, score: float = 0.25,
     both = wanted.join(counts, "run_id", "full")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return both.select("run_id", zero("hits").alias("hits"), (zero("wanted") - zero("hits")).alias("misses"), zero("localisation").alias("localisation"), zero("background").alias("background"))
+
+
+def sized_hits(predictions: DataFrame, truth: DataFrame, limits: dict[str, tuple[float, float]], iou: float = 0.5) -> DataFrame:
+    """``run_id, image_id, det, size_group, tp, ignored``: the confidence-greedy matcher once per size group.
+
+    Truth of other sizes is ignored: a prediction that only fits such truth counts neither way, as does an unmatched
+    prediction that is itself of another size.
+    """
+    cols = ["x1", "y1", "x2", "y2"]
+
+    def each(p: pd.DataFrame, g: pd.DataFrame) -> list[tuple]:
+        a, b = p[cols].to_numpy(float), g[cols].to_numpy(float)
+        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+        ious, out = _iou_matrix(a, b) if len(a) and len(b) else np.zeros((len(a), len(b))), []
+        for name, (low, high) in limits.items():
+            other = (area(b) < low) | (area(b) >= high) if len(b) else np.zeros(0, bool)
+            got = confident_match(ious, iou, other)
+            away = (area(a) < low) | (area(a) >= high)
+            out += [(int(d), name, int(k >= 0), bool(k == -2 or (k == -1 and away[i]))) for i, (d, k) in enumerate(zip(p["det"], got))]
+        return out
+
+    return per_image(predictions, truth, each, ["det", "size_group", "tp", "ignored"], "run_id string, image_id string, det int, size_group string, tp int, ignored boolean")

@@ -114,3 +114,48 @@ def gaussian(values: DataFrame, keys: list[str], order: str, value: str, sigma:
     other = numbered.select(*keys, F.col("_i").alias("_at"), F.col(value).alias("_v"))
     both = spread.join(other, [*keys, "_at"])
     return both.groupBy(*keys, order).agg((F.sum(F.col("_g") * F.col("_v")) / F.sum("_g")).alias("smooth"))
+
+
+#: Places of the score axis at which curves are read.
+PLACES = 1000
+
+
+def score_curves(curve: DataFrame) -> DataFrame:
+    """Precision and recall at ``PLACES`` even scores from 0 to 1: ``run_id, cls, threshold, i, precision, recall``.
+
+    Linear between the scores of neighbouring predictions; above the highest score recall is 0 and precision 1,
+    below the lowest one both stay. Every stretch between two predictions yields its own places.
+    """
+    keys = ["run_id", "cls", "threshold"]
+    w = Window.partitionBy(*keys).orderBy("k")
+    # of predictions with equal scores the last one speaks
+    p = curve.withColumn("next", F.lead("score").over(w)).filter("next is null or next < score").drop("next")
+    p = p.select(*keys, "k", "score", "precision", "recall", F.lag("score").over(w).alias("s0"), F.lag("precision").over(w).alias("p0"), F.lag("recall").over(w).alias("r0"), F.lead("k").over(w).isNull().alias("last"))
+    step = PLACES - 1
+    top = F.when(F.col("s0").isNull(), F.lit(step)).otherwise(F.ceil(F.col("s0") * step - 1e-9) - 1)
+    low = F.when(F.col("last"), F.lit(0)).otherwise(F.ceil(F.col("score") * step - 1e-9))
+    at = p.withColumn("a", low.cast("int")).withColumn("b", F.least(top, F.lit(step)).cast("int")).filter("a <= b").withColumn("i", F.explode(F.sequence("a", "b")))
+    x = F.col("i") / step
+    share = (x - F.col("score")) / (F.col("s0") - F.col("score"))
+
+    def value(now: str, before: str, head: float) -> Column:
+        between = F.col(now) + (F.col(before) - F.col(now)) * share
+        return F.when(x <= F.col("score"), F.col(now)).when(F.col("s0").isNull(), F.lit(head)).otherwise(between)
+
+    return at.select(*keys, "i", value("precision", "p0", 1.0).alias("precision"), value("recall", "r0", 0.0).alias("recall"))
+
+
+def common_operating_point(curve: DataFrame, width: float = 0.1) -> DataFrame:
+    """``run_id, cls, threshold, score, precision, recall, f1`` at one score per run and threshold.
+
+    The score is where the mean F1 over classes, smoothed by a centred mean over ``width`` of the axis with padded
+    ends, is greatest (the lowest of equals). The smoothed curve has ``PLACES`` rows, however many predictions there are.
+    """
+    grid = score_curves(curve).withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + _EPS))
+    mean = grid.groupBy("run_id", "threshold", "i").agg(F.avg("f1").alias("f1"))
+    half = round(PLACES * width * 2) // 2 // 2
+    span = F.sequence(F.lit(-half), F.lit(half))
+    spread = mean.select("run_id", "threshold", "i", F.explode(span).alias("o")).withColumn("at", F.least(F.greatest(F.col("i") + F.col("o"), F.lit(0)), F.lit(PLACES - 1)))
+    smooth = spread.join(mean.select("run_id", "threshold", F.col("i").alias("at"), "f1"), ["run_id", "threshold", "at"]).groupBy("run_id", "threshold", "i").agg(F.avg("f1").alias("s"))
+    best = smooth.groupBy("run_id", "threshold").agg(F.max(F.struct(F.round("s", 12).alias("s"), (-F.col("i")).alias("minus"))).alias("m")).select("run_id", "threshold", (-F.col("m.minus")).alias("i"))
+    return grid.join(best, ["run_id", "threshold", "i"]).select("run_id", "cls", "threshold", (F.col("i") / (PLACES - 1)).alias("score"), "precision", "recall", "f1")

@@ -321,3 +321,27 @@ def border_boxes(spark, d):
     frame = (F.lit(0.0), F.lit(0.0), F.col("width").cast("double"), F.col("height").cast("double"))
     near = lambda a, b: F.abs(F.col(a) - b) <= 20
     return p.select("run_id", "image_id", "det", (B.iou(frame, B.columns()) > 0.9).alias("whole_frame"), (near("x1", 0) | near("y1", 0) | near("x2", F.col("width")) | near("y2", F.col("height"))).alias("near_border"))
+
+
+_AREAS = {"small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, float("inf"))}
+
+
+@query()
+def average_precision_by_size(spark, d):
+    """Average precision per run and size group at 0.5, truth of other sizes ignored."""
+    p, t = predictions(spark, d), truth(spark, d)
+    hits = M.sized_hits(p, t, _AREAS).filter("not ignored").join(p.select("run_id", "image_id", "det", "score"), ["run_id", "image_id", "det"])
+    x, y, w, h = B.corners_to_center(B.columns())
+    group = F.when(w * h < 32.0**2, 0).when(w * h < 96.0**2, 1).otherwise(2)
+    counts = E.class_counts(p, t.withColumn("cls", group))
+    # the size group takes the place of the class
+    sized = hits.withColumn("cls", F.when(F.col("size_group") == "small", 0).when(F.col("size_group") == "medium", 1).otherwise(2)).withColumn("threshold", F.lit(0.5))
+    ap = E.average_precision(E.pr_curve(sized, counts), counts, [0.5])
+    return ap.select("run_id", F.element_at(F.array(*[F.lit(n) for n in _AREAS]), F.col("cls") + 1).alias("size_group"), r6("ap", "ap"))
+
+
+@query()
+def common_operating_point(spark, d):
+    """Precision, recall and F1 of each class at the score where the smoothed mean F1 peaks."""
+    out = E.common_operating_point(_curve(spark, d)[0])
+    return out.select("run_id", "cls", "threshold", r6("score", "score"), r6("precision", "precision"), r6("recall", "recall"), r6("f1", "f1"))

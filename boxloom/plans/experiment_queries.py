@@ -52,7 +52,7 @@ def top_runs(spark, d):
     return best(spark, d).select("run_id", "map50_95").orderBy(F.desc_nulls_last("map50_95"), "run_id").limit(5)
 
 
-@query(f"WITH {_B}, c AS (SELECT run_id AS child, 'run_' || lpad(CAST({_SEED} - {_SEED} % 4 AS VARCHAR), 6, '0') AS parent, map50_95 AS cm, end_s AS cs FROM best), j AS (SELECT child, parent, 100 * (cm - p.map50_95) AS delta_pp, 100 * (cs / p.end_s - 1) AS cost_pct FROM c JOIN best p ON p.run_id = c.parent WHERE child <> parent) SELECT child, parent, round(delta_pp, 6) AS delta_pp, round(cost_pct, 6) AS cost_pct, CASE WHEN delta_pp >= 0.5 THEN 'accuracy' WHEN delta_pp >= -0.2 AND cost_pct IS NOT NULL AND cost_pct < 0 THEN 'efficiency' ELSE 'reject' END AS decision FROM j")
+@query(f"WITH {_B}, c AS (SELECT run_id AS child, 'run_' || lpad(CAST({_SEED} - {_SEED} % 4 AS VARCHAR), 6, '0') AS parent, map50_95 AS cm, end_s AS cs FROM best), j AS (SELECT child, parent, 100 * (cm - p.map50_95) AS delta_pp, 100 * (cs / p.end_s - 1) AS cost_pct FROM c JOIN best p ON p.run_id = c.parent WHERE child <> parent) SELECT child, parent, round(delta_pp, 6) AS delta_pp, round(cost_pct, 6) AS cost_pct, CASE WHEN delta_pp >= 0.3 THEN 'accuracy' WHEN delta_pp >= -0.1 AND cost_pct IS NOT NULL AND cost_pct <= -10 THEN 'efficiency' ELSE 'threshold_not_met' END AS decision FROM j")
 def child_parent_deltas(spark, d):
     """Every run beside the first of its block of four: deltas in points and a decision."""
     runs = best(spark, d)
@@ -69,6 +69,19 @@ def factorial_effects(spark, d):
     return E.factorial(cells).select("seed", *[F.round(c, 6).alias(c) for c in ("effect_a", "effect_b", "effect_ab", "interaction")])
 
 
+_FACT = f"{_B}, c AS (SELECT {_SEED} // 4 AS seed, {_SEED} % 4 AS cell, map50_95 AS v FROM best), w AS (SELECT seed, avg(v) FILTER (cell = 0) AS base, avg(v) FILTER (cell = 1) AS a, avg(v) FILTER (cell = 2) AS b, avg(v) FILTER (cell = 3) AS ab FROM c GROUP BY seed), i AS (SELECT seed, 100 * ((ab - b) - (a - base)) AS v FROM w WHERE base IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND ab IS NOT NULL), s AS (SELECT min(seed) AS first FROM i)"
+
+
+@query(f"WITH {_FACT} SELECT round(max(v) FILTER (seed = first), 6) AS discovered, count(v) FILTER (seed <> first) AS held_out, round(avg(v) FILTER (seed <> first), 6) AS held_out_mean, round(stddev_samp(v) FILTER (seed <> first), 6) AS held_out_sd, coalesce(min(v) FILTER (seed <> first) > 0, false) AS directional, coalesce(avg(v) FILTER (seed <> first) >= 0.3, false) AS stable FROM i, s")
+def interaction_replication(spark, d):
+    """Whether the interaction of the first block of runs holds in the others."""
+    cells = numbered(best(spark, d)).select(F.floor(F.col("number") / 4).cast("int").alias("seed"), F.element_at(F.array(*[F.lit(x) for x in ("base", "a", "b", "ab")]), F.col("number") % 4 + 1).alias("cell"), F.col("map50_95").alias("value"))
+    effects = E.factorial(cells)
+    first = effects.agg(F.min("seed").alias("s")).first()["s"]
+    out = E.replication(effects, -1 if first is None else first)
+    return out.select(F.round("discovered", 6).alias("discovered"), "held_out", F.round("held_out_mean", 6).alias("held_out_mean"), F.round("held_out_sd", 6).alias("held_out_sd"), "directional", "stable")
+
+
 @query(f"WITH {_B} SELECT {_SEED} % 4 AS cell, count(map50_95) AS n, round(avg(map50_95), 6) AS mean, round(stddev_samp(map50_95), 6) AS sd, round(stddev_pop(map50_95), 6) AS sd_pop, min(map50_95) AS least, max(map50_95) AS most FROM best GROUP BY 1")
 def cell_spread(spark, d):
     """Mean and both deviations per cell."""

@@ -188,3 +188,35 @@ def test_search_steps():
 def test_size_names(spark):
     df = spark.createDataFrame([(7.5,), (16.0,), (31.9,), (32.0,), (96.0,)], "s double")
     assert [r[0] for r in df.select(B.size_name(F.col("s"))).collect()] == ["tiny", "small", "small", "medium", "large"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_common_operating_point(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, want = [], {}
+    x = np.linspace(0, 1, E.PLACES)
+    f1s = []
+    for c, n in ((0, 30), (1, 12)):
+        score = np.sort(np.round(rng.random(n) * 0.9 + 0.05, 4))[::-1]
+        score = np.unique(score)[::-1]
+        tp = rng.random(len(score)) < 0.6
+        rec, pre = np.cumsum(tp) / 25, np.cumsum(tp) / np.arange(1, len(score) + 1)
+        rows += [("r", c, 0.5, k + 1, float(score[k]), 25, int(np.cumsum(tp)[k]), float(rec[k]), float(pre[k])) for k in range(len(score))]
+        r, p = np.interp(-x, -score, rec, left=0), np.interp(-x, -score, pre, left=1)
+        want[c] = (r, p)
+        f1s.append(2 * p * r / (p + r + 1e-16))
+    y = np.mean(f1s, 0)
+    half = round(E.PLACES * 0.1 * 2) // 2 // 2
+    padded = np.concatenate([np.full(half, y[0]), y, np.full(half, y[-1])])
+    s = np.convolve(padded, np.ones(2 * half + 1) / (2 * half + 1), "valid")
+    i = int(np.round(s, 12).argmax())
+    curve = spark.createDataFrame(rows, "run_id string, cls int, threshold double, k int, score double, n_truth bigint, tps bigint, recall double, precision double")
+    for r in E.common_operating_point(curve).collect():
+        assert abs(r["score"] - x[i]) < 1e-9 and abs(r["recall"] - want[r["cls"]][0][i]) < 1e-6 and abs(r["precision"] - want[r["cls"]][1][i]) < 1e-6
+
+
+def test_other_sizes_are_ignored(spark):
+    p = M.ranked_predictions(boxes(spark, [("r", "i", 0, 0.9, 0, 0, 10, 10), ("r", "i", 0, 0.8, 0, 0, 200, 200), ("r", "i", 0, 0.7, 500, 500, 505, 505)]))
+    t = truth(spark, [("i", 1, 0, 0, 0, 10, 10), ("i", 2, 0, 0, 0, 200, 200)])
+    got = {(r["det"], r["size_group"]): (r["tp"], r["ignored"]) for r in M.sized_hits(p, t, {"small": (0, 1024), "large": (1024, 1e9)}).collect()}
+    assert got == {(1, "small"): (1, False), (2, "small"): (0, True), (3, "small"): (0, False), (1, "large"): (0, True), (2, "large"): (1, False), (3, "large"): (0, True)}
