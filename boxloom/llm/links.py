@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boxloom.functions.names import plain_name, source_name, usable_split
 from boxloom.operators.ranking import bucketed_rank, lookup
@@ -80,6 +81,11 @@ def torn(ties: DataFrame) -> DataFrame:
     return lookup(ties, spread, "component", "inner").filter("record_id is not null").select("record_id").distinct()
 
 
+def _band(size: Column) -> Column:
+    """Sizes up to 16 have a band each, above that a band spans a quarter of a doubling."""
+    return F.when(size <= 16, size).otherwise(16 + F.floor(4 * F.log2(size / 16))).cast("int")
+
+
 def _dealt(rank: Column, shares: list[tuple[str, float]]) -> Column:
     """The split of the ``rank``-th root when splits take turns in proportion to ``shares``.
 
@@ -100,9 +106,9 @@ def deal(ties: DataFrame, targets: DataFrame, heavy: int = 1000) -> DataFrame:
     """``record_id, component, component_size, size_band, new_split``.
 
     Components above a ``heavy``-th of all records (fewer than ``heavy`` of them, so a bounded list) go one by one,
-    largest first, to the split furthest below its share. All others are stratified into bands of sizes within a
-    factor of two, put in a pseudo-random order inside the band, and dealt systematically in the shares that the
-    heavy ones left over, so every band is spread over the splits as the targets ask.
+    largest first, to the split furthest below its share. All others are stratified into narrow bands of
+    size, put in a pseudo-random order inside the band, and dealt systematically, from large bands to small
+    ones, in the shares that the heavy ones left over, so every band is spread over the splits as the targets ask.
     """
     wanted = sorted(((r["split_name"], float(r["share"] or 0)) for r in targets.select("split_name", "share").collect() if r["split_name"]), key=lambda x: (-x[1], x[0]))
     scale = sum(share for _, share in wanted)
@@ -121,10 +127,16 @@ def deal(ties: DataFrame, targets: DataFrame, heavy: int = 1000) -> DataFrame:
         chosen.append((r["component"], r["component_size"], name))
     left = sum(max(0.0, x) for x in room.values())
     rest = [(name, max(0.0, room[name]) / left if left else share) for name, share in wanted]
-    light = sizes.filter(~big).withColumn("size_band", F.floor(F.log2("component_size")).cast("int"))
+    light = sizes.filter(~big).withColumn("size_band", _band(F.col("component_size")))
     order = F.xxhash64("component")
     ranked = bucketed_rank(light, ["size_band"], [order, F.col("component")], F.col("component"))
-    dealt = ranked.select("component", "component_size", "size_band", _dealt(F.col("rank"), rest).alias("new_split"))
+    # dealing goes on from band to band, so small bands don't all begin with the same split; there are at most
+    # about 200 bands, whatever the number of components
+    bands = light.groupBy(F.col("size_band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")).coalesce(1)
+    before = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = bands.select("_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    chained = ranked.drop("_n").join(F.broadcast(starts), F.col("size_band") == F.col("_band"))
+    dealt = chained.select("component", "component_size", "size_band", _dealt(F.col("rank") + F.col("_start"), rest).alias("new_split"))
     spark = ties.sparkSession
-    placed = spark.createDataFrame(chosen, "component string, component_size bigint, new_split string").withColumn("size_band", F.floor(F.log2("component_size")).cast("int"))
+    placed = spark.createDataFrame(chosen, "component string, component_size bigint, new_split string").withColumn("size_band", _band(F.col("component_size")))
     return lookup(mine.select("record_id", "component"), dealt.unionByName(placed), "component", "inner").select("record_id", "component", "component_size", "size_band", "new_split")
