@@ -85,4 +85,38 @@ SELECT r.old_split, r.measure_name, t.pct, r.n, CAST(r.v AS BIGINT) AS value
 FROM ranked r JOIN (SELECT DISTINCT measure_name, pct FROM percentile_targets) t ON t.measure_name = r.measure_name AND r.rk = greatest(1, CAST(ceil(t.pct * r.n - 1e-9) AS BIGINT))
 """
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p4_percentiles": _P4}
+
+
+def _pairings(n: int) -> str:
+    """All orders of the numbers 1..n, for n up to 5, as one SQL list of lists."""
+    from itertools import permutations
+
+    return "CASE n " + " ".join(f"WHEN {k} THEN {[list(p) for p in permutations(range(1, k + 1))]}" for k in range(n + 1)) + " END"
+
+
+_NUMBERS = r"list_transform(list_filter(regexp_split_to_array(sig, '\r\n|\n|\r'), lambda l: trim(regexp_replace(l, '\s', ' ', 'g')) <> ''), lambda l: list_transform(string_split(trim(regexp_replace(l, '\s+', ' ', 'g')), ' ')[2:], lambda v: CAST(v AS DOUBLE)))"
+
+# Box lists have at most five entries here; a longer one would have no pairing in this form.
+_P5 = rf"""
+WITH rows AS (SELECT {_digest('image_sha256')} AS d, unnest(records) AS r FROM audit),
+rec AS (
+  SELECT DISTINCT d, r.record_id AS record_id, {split_sql('r.old_split')} AS split, CASE WHEN regexp_full_match(r.thumb_sig, '[0-9a-fA-F]{{64}}') THEN lower(r.thumb_sig) END AS t, r.label_signature AS sig,
+         r.label_signature IS NOT NULL AND len(list_filter(regexp_split_to_array(r.label_signature, '
+|
+|'), lambda l: regexp_replace(l, '\s', '', 'g') <> '' AND NOT regexp_full_match(l, '\s*[^\s]+(\s+[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?){{4}}\s*'))) = 0 AS ok
+  FROM rows WHERE r.record_id IS NOT NULL
+), ds AS (SELECT DISTINCT d FROM rows WHERE d IS NOT NULL),
+whole AS (
+  SELECT c.d AS cut, CASE WHEN count(DISTINCT f.d) FILTER (length(f.d) = 64) = 1 THEN max(f.d) FILTER (length(f.d) = 64) WHEN count(*) FILTER (length(f.d) = 64) = 0 THEN arg_max(f.d, length(f.d)) ELSE c.d END AS d
+  FROM ds c JOIN ds f ON left(c.d, 16) = left(f.d, 16) AND length(f.d) > length(c.d) AND starts_with(f.d, c.d) WHERE length(c.d) < 64 GROUP BY c.d
+), m AS (SELECT coalesce(w.d, rec.d) AS d, record_id, split, t, sig, ok FROM rec LEFT JOIN whole w ON w.cut = rec.d WHERE split IS NOT NULL),
+b AS (SELECT record_id, split, t, {_NUMBERS} AS bx FROM m WHERE ok AND t IS NOT NULL),
+near AS (
+  SELECT a.record_id AS x, e.record_id AS y, a.bx AS p, e.bx AS q, len(a.bx) AS n FROM b a JOIN b e ON a.split = 'train' AND e.split <> 'train' AND len(a.bx) = len(e.bx) AND hamming(a.t, e.t) <= 8
+), agreed AS (
+  SELECT x, y FROM near WHERE n = 0 OR len(list_filter({_pairings(5)}, lambda o: len(list_filter(range(1, n + 1), lambda i: abs(p[i][1] - q[o[i]][1]) > 0.01 + 1e-9 OR abs(p[i][2] - q[o[i]][2]) > 0.01 + 1e-9 OR abs(p[i][3] - q[o[i]][3]) > 0.01 + 1e-9 OR abs(p[i][4] - q[o[i]][4]) > 0.01 + 1e-9)) = 0)) > 0
+), same AS (SELECT a.record_id AS x, e.record_id AS y FROM m a JOIN m e ON a.d = e.d AND a.split = 'train' AND e.split <> 'train')
+SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM (SELECT * FROM agreed UNION ALL SELECT * FROM same)
+"""
+
+SQL = {"p1_found": _P1, "p2_found": _P2, "p4_percentiles": _P4, "p5_found": _P5}
