@@ -120,12 +120,12 @@ def split_cube(spark, d):
     return inv(spark, d).cube("split", "dataset").agg(F.count(F.lit(1)).alias("images"))
 
 
-@query(f"WITH {_I} SELECT split, quantile_cont(width, 0.0) AS p0, quantile_cont(width, 0.05) AS p05, quantile_cont(width, 0.25) AS p25, quantile_cont(width, 0.5) AS p50, quantile_cont(width, 0.75) AS p75, quantile_cont(width, 0.95) AS p95, quantile_cont(width, 1.0) AS p100 FROM iv GROUP BY split")
+@query(f"WITH {_I} SELECT split, round(quantile_cont(width, 0.0), 6) AS p0, round(quantile_cont(width, 0.05), 6) AS p05, round(quantile_cont(width, 0.25), 6) AS p25, round(quantile_cont(width, 0.5), 6) AS p50, round(quantile_cont(width, 0.75), 6) AS p75, round(quantile_cont(width, 0.95), 6) AS p95, round(quantile_cont(width, 1.0), 6) AS p100 FROM iv GROUP BY split")
 def width_percentiles(spark, d):
     """Seven linear percentiles of the width per split."""
     names = ["p0", "p05", "p25", "p50", "p75", "p95", "p100"]
     p = inv(spark, d).groupBy("split").agg(F.percentile("width", F.array(*[F.lit(x) for x in (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)])).alias("p"))
-    return p.select("split", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return p.select("split", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
 
 
 @query(f"WITH {_I}, s AS (SELECT dataset, height, row_number() OVER (PARTITION BY dataset ORDER BY height) AS k, count(*) OVER (PARTITION BY dataset) AS n FROM iv WHERE height IS NOT NULL) SELECT dataset, height AS p95 FROM s WHERE k = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT) + 1")

@@ -51,23 +51,23 @@ def box_forms(spark, d):
 
 @query(f"""WITH {S.GT}, g AS (SELECT *, least(640.0 / height, 640.0 / width) AS gain FROM gt),
 p AS (SELECT *, round_even((640.0 - round_even(width * gain, 0)) / 2 - 0.1, 0) AS px, round_even((640.0 - round_even(height * gain, 0)) / 2 - 0.1, 0) AS py FROM g)
-SELECT image_id, box_no, round(greatest(0.0, least((x1 - px) / gain, width)), 5) AS x1, round(greatest(0.0, least((y2 - py) / gain, height)), 5) AS y2 FROM p""")
+SELECT image_id, box_no, round(greatest(0.0, least((x1 - px) / gain, width)) + 1e-8, 5) AS x1, round(greatest(0.0, least((y2 - py) / gain, height)) + 1e-8, 5) AS y2 FROM p""")
 def letterbox_undone(spark, d):
     """Boxes taken as lying on a padded 640 square, brought back onto their image and clipped."""
     b = B.from_letterbox(B.columns(), 640.0, F.col("width"), F.col("height"))
-    return truth(spark, d).select("image_id", "box_no", F.round(b[0], 5).alias("x1"), F.round(b[3], 5).alias("y2"))
+    return truth(spark, d).select("image_id", "box_no", F.round(b[0] + 1e-8, 5).alias("x1"), F.round(b[3] + 1e-8, 5).alias("y2"))
 
 
 @query(f"""WITH {S.GT}, t AS (SELECT image_id, box_no, x2 - x1 AS w, y2 - y1 AS h, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, (box_no * 0.7) AS r FROM gt),
 m AS (SELECT *, r - floor(r / pi()) * pi() AS q FROM t)
-SELECT image_id, box_no, round(x + w / 2 * cos(r) - h / 2 * sin(r), 5) AS ax, round(y + w / 2 * sin(r) + h / 2 * cos(r), 5) AS ay, round(CASE WHEN q >= pi() / 2 THEN h ELSE w END, 5) AS rw, round(q - floor(q / (pi() / 2)) * (pi() / 2), 5) AS rr FROM m""")
+SELECT image_id, box_no, round(x + w / 2 * cos(r) - h / 2 * sin(r) + 1e-8, 5) AS ax, round(y + w / 2 * sin(r) + h / 2 * cos(r) + 1e-8, 5) AS ay, round(CASE WHEN q >= pi() / 2 THEN h ELSE w END + 1e-8, 5) AS rw, round(q - floor(q / (pi() / 2)) * (pi() / 2), 5) AS rr FROM m""")
 def rotated_boxes(spark, d):
     """Corners of turned boxes and their regular form with the angle below a right one."""
     t = truth(spark, d).withColumn("r", F.col("box_no") * 0.7)
     x, y, w, h = B.corners_to_center(B.columns())
     ax, ay = B.rotated_corners(x, y, w, h, F.col("r"))[0]
     rw, _, rr = B.regular_rotation(w, h, F.col("r"))
-    return t.select("image_id", "box_no", F.round(ax, 5).alias("ax"), F.round(ay, 5).alias("ay"), F.round(rw, 5).alias("rw"), F.round(rr, 5).alias("rr"))
+    return t.select("image_id", "box_no", F.round(ax + 1e-8, 5).alias("ax"), F.round(ay + 1e-8, 5).alias("ay"), F.round(rw + 1e-8, 5).alias("rw"), F.round(rr, 5).alias("rr"))
 
 
 @query(f"WITH {S.GT}, {S.DET}, {S.PAIRS} SELECT run_id, image_id, det, gt, round(iou, 6) AS iou FROM pairs WHERE iou > 0")
