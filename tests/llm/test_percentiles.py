@@ -65,3 +65,14 @@ def test_partials_of_days_add_up(spark):
     apart = [P.partial_histogram(values.filter(F.col("part") == d), 8) for d in range(4)]
     order = ["grp", "measure", "prefix"]
     assert P.combine(*apart).orderBy(*order).collect() == P.combine(P.partial_histogram(values, 8)).orderBy(*order).collect()
+
+
+def test_sizes_of_odd_records(spark):
+    import datetime
+
+    t = datetime.datetime(2025, 1, 2, 3)
+    rows = [(1, "Train", 640, 480, t), (1, "Train", 640, 480, t), (2, "val", 0, 12000, t), (3, None, None, -1, None), (4, "?", 12001, 1, t), (None, "test", 5, 5, t)]
+    df = spark.createDataFrame([(*r, "clash", 3) for r in rows], "record_id bigint, old_split string, width int, height int, scanned_at timestamp_ntz, grp string, key int")
+    got = {(r["grp"], r["measure"], r["key"]) for r in P.sizes_by_day(df).collect()}
+    assert got == {("train", "width", 640), ("train", "height", 480), ("valid", "height", 12000), ("unassigned", "height", 1)}
+    assert P.sizes_by_day(df).count() == 4 and P.sizes_by_day(df.limit(0)).count() == 0
