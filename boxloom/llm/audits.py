@@ -25,13 +25,17 @@ def whole_digests(digests: DataFrame) -> DataFrame:
     return best.filter("lo is null or lo = hi").select(F.col("cut").alias("digest"), F.coalesce("lo", "far.digest").alias("whole"))
 
 
-def audit_records(audit: DataFrame, fields: dict) -> DataFrame:
+def audit_records(audit: DataFrame, needs: list[str], fields: dict) -> DataFrame:
     """``record_id, digest`` and ``fields`` (name -> column over ``r``, the record), one row per record.
 
+    ``needs`` names the parts of the record that ``fields`` use: only these are zipped and exploded, so the scan reads
+    no other part of the nested column.
+
     Null lists and null entries hold no records; a null ``record_id`` names none. An unreadable digest is null. If a
     record is delivered again with other content, the greatest (digest, fields) is kept, so the result is defined.
     """
-    rows = audit.select(digest_hex(F.col("image_sha256")).alias("digest"), F.explode("records").alias("r")).filter("r.record_id is not null")
+    zipped = F.arrays_zip(*[F.col(f"records.{n}").alias(n) for n in ("record_id", *needs)])
+    rows = audit.select(digest_hex(F.col("image_sha256")).alias("digest"), F.explode(zipped).alias("r")).filter("r.record_id is not null")
     flat = rows.select(F.col("r.record_id").alias("record_id"), "digest", *[c.alias(n) for n, c in fields.items()])
     return flat.groupBy("record_id").agg(F.max(F.struct("digest", *fields)).alias("m")).select("record_id", "m.digest", *[f"m.{n}" for n in fields])
 

@@ -47,7 +47,7 @@ def split_records(audit: DataFrame, with_source: bool = False) -> DataFrame:
     """``record_id, digest, split, thumb, boxes`` (and ``source``) of records with a usable split; digest and thumbnail as bytes."""
     thumb = F.when(F.col("r.thumb_sig").rlike(r"^[0-9A-Fa-f]{64}\z"), F.unhex("r.thumb_sig"))
     fields = {"split": usable_split(F.col("r.old_split")), "thumb": thumb, "label": F.col("r.label_signature")} | ({"source": F.col("r.source_id")} if with_source else {})
-    rows = with_whole_digest(audit_records(audit, fields).filter("split is not null"), audit)
+    rows = with_whole_digest(audit_records(audit, ["old_split", "thumb_sig", "label_signature", *(["source_id"] if with_source else [])], fields).filter("split is not null"), audit)
     boxes = F.transform(boxes_of(F.col("label")), lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")))
     # half the bytes of the hex form; the length keeps digests that were cut apart from whole ones
     digest = F.unhex(F.concat(F.lpad(F.col("digest"), 64, "0"), F.lpad(F.hex(F.length("digest")), 2, "0")))

@@ -54,7 +54,7 @@ def copies(audit: DataFrame, reviewers: DataFrame) -> DataFrame:
     """Records of images that several records show: ``digest, first_record_id, record_id, mask, trust, at``."""
     bits = F.when(usable_signature(F.col("r.label_signature")), 1).otherwise(0) + F.when(usable_split(F.col("r.old_split")).isNotNull(), 2).otherwise(0)
     seen = F.coalesce(F.col("r.reviewed_at"), F.lit("0001-01-01").cast("timestamp_ntz")).cast("timestamp_ntz")
-    rows = with_whole_digest(audit_records(audit, {"mask": bits, "reviewer": F.col("r.reviewer"), "at": seen}), audit)
+    rows = with_whole_digest(audit_records(audit, ["label_signature", "old_split", "reviewer", "reviewed_at"], {"mask": bits, "reviewer": F.col("r.reviewer"), "at": seen}), audit)
     grades = reviewers.filter("reviewer is not null").groupBy("reviewer").agg(F.max("trust").alias("trust"))
     rows = settle(rows.filter("digest is not null").join(grades, "reviewer", "left").withColumn("trust", F.coalesce("trust", F.lit(0))).drop("reviewer"))
     several = rows.groupBy("digest").agg(F.min("record_id").alias("first_record_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
