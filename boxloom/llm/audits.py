@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.names import digest_hex
 from boxloom.operators.ranking import lookup
+from boxloom.runtime import settle
 
 
 def whole_digests(digests: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def audit_records(audit: DataFrame, needs: list[str], fields: dict) -> DataFrame
 
 def with_whole_digest(records: DataFrame, audit: DataFrame) -> DataFrame:
     """``records`` with cut digests replaced by those that they begin; only rows with a cut digest are looked up."""
-    known = whole_digests(audit.select(digest_hex(F.col("image_sha256")).alias("digest")))
+    # every notation is read once; both sides of the join take the plain digests
+    known = whole_digests(settle(audit.select(digest_hex(F.col("image_sha256")).alias("digest")).filter("digest is not null")))
     is_cut = F.coalesce(F.length("digest") < 64, F.lit(False))
     mended = lookup(records.filter(is_cut), known, "digest").withColumn("digest", F.coalesce("whole", "digest"))
     return records.filter(~is_cut).unionByName(mended.select(*records.columns))
