@@ -1,38 +1,117 @@
-"""Groups of near-identical images from small thumbnails: blocking by two staggered quantisers, then verification."""
+"""Groups of near-identical images from small thumbnails: every pair within the limits meets in a block and is verified.
+
+A thumbnail is 64 cells of four bits, written as 64 hex digits; anything else takes no part. In unary code (is the cell
+at least 1, 2 .. 15?) it has 960 bits, and the gaps of two thumbnails add up to the number of bits in which they
+differ. The bits are dealt over one block more than the greatest sum of gaps, so a pair within the limits has at least
+one block in which no bit differs: blocking loses nothing. Thumbnails that share a block are compared in full, all
+with all; copies of one thumbnail count as one and hang on their first image.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.operators.audit import components
+from boxloom.operators.ranking import lookup
+from boxloom.runtime import settle
+
+CELLS, LEVELS = 64, 15
+#: Rows per block are estimated in so many counters, whatever the number of blocks.
+SKETCH = 1 << 16
+#: Rows of a block that one task compares with as many others.
+PORTION = 1000
+_ONES = 0x0101010101010101
+
+
+def _long(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("bigint")
+
+
+def _and(c: Column | str, bits: int) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).bitwiseAND(_long(bits))
+
+
+def _or(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def distinct_thumbs(images: DataFrame, key: str, thumb: str) -> tuple[DataFrame, DataFrame]:
+    """(``vid, first, q0..q3``: each thumbnail once as four numbers, with its least image; edges ``a, b`` from that image to its copies)."""
+    rows = images.filter(F.col(thumb).rlike(r"^[0-9A-Fa-f]{64}\z")).select(F.col(key).alias("b"), F.unhex(F.col(thumb)).alias("t"))
+    once = settle(rows.groupBy("t").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("vid", F.monotonically_increasing_id()))
+    copies = lookup(rows, once.filter("n > 1").select("t", F.col("first").alias("a")), "t", "inner").filter("a <> b").select("a", "b")
+    return once.select("vid", "first", *[F.conv(F.hex(F.substring("t", 8 * i + 1, 8)), 16, -10).cast("bigint").alias(f"q{i}") for i in range(4)]), copies
+
+
+def _words(vecs: DataFrame) -> DataFrame:
+    """``vid, first`` with ``w1..w15``, whose bits tell which cells reach that level, and ``sums``: eight sums of eight cells, a byte each."""
+    low = 0x0F * _ONES
+    halves = vecs.select("*", *[_and(f"q{i}", low).alias(f"e{i}") for i in range(4)], *[_and(F.shiftrightunsigned(f"q{i}", 4), low).alias(f"o{i}") for i in range(4)])
+
+    def level(t: int) -> Column:
+        # adding 16 - t carries into the bit above a cell that is t or more
+        up = _long((16 - t) * _ONES)
+        return _or([F.shiftleft(_and(F.shiftrightunsigned(F.col(f"e{i}") + up, 4), _ONES).bitwiseOR(_and(F.col(f"o{i}") + up, 0x10 * _ONES)), i) for i in range(4)])
+
+    def sums(i: int) -> Column:
+        s = F.col(f"e{i}") + F.col(f"o{i}")
+        s = _and(s, 0x00FF00FF00FF00FF) + _and(F.shiftrightunsigned(s, 8), 0x00FF00FF00FF00FF)
+        return _and(s, 0x0000FFFF0000FFFF) + _and(F.shiftrightunsigned(s, 16), 0x0000FFFF0000FFFF)
+
+    return settle(halves.select("vid", "first", *[level(t).alias(f"w{t}") for t in range(1, LEVELS + 1)], _or([F.shiftleft(sums(i), 8 * i) for i in range(4)]).alias("sums")))
 
 
-def _cells(thumb: str):
-    return F.transform(F.split(F.col(thumb), ""), lambda c: F.conv(c, 16, 10).cast("int"))
+def _blocks(words: DataFrame, most_sum: int) -> DataFrame:
+    """``vid, sums, block``: a row for each of ``most_sum + 1`` blocks; each bit is in one block, and no block is empty."""
+    n = most_sum + 1
+    if n > CELLS * LEVELS:
+        raise ValueError("thumbnails can't differ by as much as the limit")
+    # a block takes other cells on each level, as long as there are enough of both
+    place = (lambda c, t: (c + t) % n) if n < CELLS + LEVELS else (lambda c, t: (CELLS * (t - 1) + c) % n)
+    masks = [[(t, sum(1 << c for c in range(CELLS) if place(c, t) == p)) for t in range(1, LEVELS + 1)] for p in range(n)]
+    blocks = [F.xxhash64(F.lit(p), _or([_and(f"w{t}", m) for t, m in of if m])) for p, of in enumerate(masks)]
+    return words.select("vid", "sums", F.explode(F.array(*blocks)).alias("block"))
 
 
-def candidates(images: DataFrame, key: str, thumb: str, step: int = 8, scope: str | None = None) -> DataFrame:
-    """``a < b``: images whose cells fall into the same bins of either quantiser, from each image to the first of its bucket.
+def candidates(words: DataFrame, most_sum: int) -> DataFrame:
+    """``a < b`` (``vid``): thumbnails that share a block and whose eight sums differ by at most ``most_sum`` together.
 
-    Two quantisers half a bin apart keep pairs that one of them would cut. Buckets link to their first image only,
-    so a bucket of any size gives one edge per image.
+    A block with many rows is cut into portions and these meet pair by pair, so no task compares more than about
+    ``PORTION`` rows with as many.
     """
-    bins = lambda off: F.sha2(F.array_join(F.transform(_cells(thumb), lambda v: F.floor((v + off) / step).cast("string")), ","), 256)
-    keyed = images.filter(F.col(thumb).isNotNull()).select(F.col(key).alias("b"), *([F.col(scope).alias("_scope")] if scope else [F.lit("").alias("_scope")]), F.explode(F.array(F.concat(F.lit("0"), bins(0)), F.concat(F.lit("1"), bins(step // 2)))).alias("bucket"))
-    first = keyed.groupBy("bucket", "_scope").agg(F.min("b").alias("a"))
-    return keyed.join(first, ["bucket", "_scope"]).filter("a < b").select("a", "b").distinct()
+    rows = _blocks(words, most_sum)
+    slot = F.pmod("block", F.lit(SKETCH)).cast("int")
+    loads = settle(rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")))
+    usual = loads.agg(F.percentile_approx("n", F.lit(0.5))).first()[0] or 0
+    hot = loads.filter(F.col("n") > 2 * usual + PORTION).select("slot", F.ceil((F.col("n") - usual) / PORTION).cast("int").alias("portions"))
+    cut = rows.join(F.broadcast(hot), slot == F.col("slot"), "left").withColumn("portions", F.coalesce("portions", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vid"), "portions").cast("int"))
+    met = cut.select("block", "vid", "sums", "own", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("other"))
+    met = met.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), "vid", "sums")
+    a, b = met.alias("a"), met.alias("b")
+    byte = lambda c, i: _and(F.shiftrightunsigned(c, 8 * i), 0xFF)
+    apart = sum((F.abs(byte("a.sums", i) - byte("b.sums", i)) for i in range(8)), F.lit(0))
+    return a.join(b, (F.col("a.meeting") == F.col("b.meeting")) & (F.col("a.vid") < F.col("b.vid")) & (apart <= most_sum)).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, images: DataFrame, key: str, thumb: str, mean: float, most: int) -> DataFrame:
-    """Pairs whose cells differ by at most ``mean`` on average and at most ``most`` anywhere, with both figures."""
-    side = lambda n: images.select(F.col(key).alias(n), _cells(thumb).alias(f"{n}_cells"))
-    gap = F.zip_with("a_cells", "b_cells", lambda x, y: F.abs(x - y))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("gap", gap)
-    told = both.select("a", "b", (F.aggregate("gap", F.lit(0), lambda s, v: s + v) / F.size("gap")).alias("mean_gap"), F.array_max("gap").alias("most_gap"))
-    return told.filter((F.col("mean_gap") <= mean) & (F.col("most_gap") <= most))
+def verified(pairs: DataFrame, words: DataFrame, mean: float, most: int) -> DataFrame:
+    """Pairs whose cells differ by at most ``mean`` on average and at most ``most`` anywhere, with the mean, as ``a, b`` of first images."""
+    side = lambda n: words.select(F.col("vid").alias(n), F.col("first").alias(f"{n}_first"), F.struct(*[f"w{t}" for t in range(1, LEVELS + 1)]).alias(f"{n}_w"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a_first", "b_first", *[F.col(f"a_w.w{t}").bitwiseXOR(F.col(f"b_w.w{t}")).alias(f"d{t}") for t in range(1, LEVELS + 1)])
+    gap = sum((F.bit_count(f"d{t}") for t in range(1, LEVELS + 1)), F.lit(0)) / CELLS
+    # the levels in which a cell differs are consecutive, so a gap above most has two that lie most apart
+    far = [F.col(f"d{t}").bitwiseAND(F.col(f"d{t + most}")) for t in range(1, LEVELS + 1 - most)]
+    told = both.filter(_or(far) == 0) if far else both
+    return told.select(F.col("a_first").alias("a"), F.col("b_first").alias("b"), gap.alias("mean_gap")).filter(F.col("mean_gap") <= mean)
 
 
-def groups(images: DataFrame, key: str, thumb: str, mean: float = 0.5, most: int = 8, step: int = 8) -> DataFrame:
+def groups(images: DataFrame, key: str, thumb: str, mean: float = 0.5, most: int = 8) -> DataFrame:
     """``node, component`` of images tied by verified pairs."""
-    return components(verified(candidates(images, key, thumb, step), images, key, thumb, mean, most).select("a", "b"))
+    vecs, copies = distinct_thumbs(images, key, thumb)
+    words = _words(vecs)
+    near = verified(candidates(words, int(mean * CELLS)), words, mean, most).select("a", "b")
+    # an image delivered with several thumbnails may be first in each of them
+    return components(settle(copies.unionByName(near).filter("a <> b")))

@@ -237,3 +237,40 @@ def test_published_effects(spark):
     place = spark.createDataFrame([(0, "base", 0.56642), (0, "a", 0.56215), (0, "b", 0.56034), (0, "ab", 0.57516)], "seed int, cell string, value double")
     r = E.factorial(place).first()
     assert all(abs(x - y) < 1e-9 for x, y in zip(r[1:], (-0.427, -0.608, 0.874, 1.909)))
+
+
+def test_near_identical_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    # one bucket of dark cells whose first member is near nothing, chains, single steps over a bin's edge, copies
+    rows = [[0] * 32 + [3] * 32, *[[int(x) for x in np.minimum(rng.integers(0, 3, 64), 2)] for _ in range(40)]]
+    base = [[int(x) for x in rng.integers(0, 16, 64)] for _ in range(30)]
+    for b in base:
+        for n, step in ((32, 1), (33, 1), (4, 8), (1, 9), (20, 1)):
+            moved = list(b)
+            for c in rng.choice(64, n, replace=False):
+                moved[c] += step if moved[c] + step <= 15 else -step if moved[c] >= step else 0
+            rows.append(moved)
+        rows += [b, b]
+    flat = [2] * 64
+    rows += [[v + (i < k) for i, v in enumerate(flat)] for k in (0, 30, 60)]
+    df = spark.createDataFrame([(i, "".join(f"{v:x}" for v in r)) for i, r in enumerate(rows)] + [(9999, "ff")], "id bigint, t string")
+    cells = np.array(rows)
+    gap = np.abs(cells[:, None] - cells[None])
+    near = (gap.sum(2) <= 32) & (gap.max(2) <= 8)
+    low = list(range(len(rows)))
+    for _ in rows:
+        low = [min(low[j] for j in np.flatnonzero(near[i])) for i in range(len(rows))]
+    expected = {i: low[i] for i in range(len(rows)) if near[i].sum() > 1}
+    assert len(expected) > 100 and 0 not in expected
+    assert {r["node"]: r["component"] for r in near_duplicates.groups(df, "id", "t").collect()} == expected
+
+
+def test_near_identical_pairs_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PORTION", 3)
+    rng = np.random.default_rng(6)
+    cells = rng.integers(0, 2, (60, 64))
+    df = spark.createDataFrame([(i, "".join(f"{v:x}" for v in r)) for i, r in enumerate(cells.tolist())], "id bigint, t string")
+    words = near_duplicates._words(near_duplicates.distinct_thumbs(df, "id", "t")[0])
+    got = {tuple(sorted(r[:2])) for r in near_duplicates.verified(near_duplicates.candidates(words, 28), words, 28 / 64, 8).select("a", "b").collect()}
+    gap = np.abs(cells[:, None] - cells[None]).sum(2)
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if gap[i, j] <= 28} and len(got) > 50
