@@ -22,7 +22,7 @@ from boxloom.plans.experiment_queries import _B as BEST_EPOCH
 from boxloom.plans.experiment_queries import _E as EPOCHS
 from boxloom.plans.experiment_queries import best, log
 from boxloom.plans.registry import Registry
-from boxloom.runtime import read_table
+from boxloom.runtime import read_table, settle
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -111,10 +111,12 @@ def class_split(spark, d):
 
 @query()
 def split_trials(spark, d):
-    """Sources dealt to splits by the best of 16 seeded trials over images and boxes."""
-    rows = inv(spark, d).filter("source is not null").withColumn("family", F.coalesce("video", F.substring("source", 1, 6)))
-    sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("images"), F.sum("instances").alias("boxes"), F.count_if(F.col("instances") == 0).alias("empty"))
-    return allocation.allocate(sizes, "family", ["images", "boxes", "empty"], {"train": 0.7, "valid": 0.15, "test": 0.15}, 16, 7, [5.0, 2.0, 0.5]).select("family", "split")
+    """Components of records with a common source or video, loose records included, dealt to splits by the best of 16 seeded trials over images and boxes."""
+    rows = settle(inv(spark, d).select("record_id", "source", "video", "instances"))
+    tied = A.components(A.component_edges(rows, "record_id", ["source", "video"])).select(F.col("node").alias("record_id"), "component")
+    named = rows.join(tied, "record_id", "left").withColumn("component", F.coalesce("component", "record_id"))
+    sizes = settle(named.groupBy("component").agg(F.count(F.lit(1)).alias("images"), F.sum("instances").alias("boxes"), F.count_if(F.col("instances") == 0).alias("empty")))
+    return allocation.allocate(sizes, "component", ["images", "boxes", "empty"], {"train": 0.7, "valid": 0.15, "test": 0.15}, 16, 7, [5.0, 2.0, 0.5]).select("component", "split")
 
 
 @query(f"WITH {INVENTORY}, f AS (SELECT image_sha256, min(record_id) AS first FROM iv WHERE image_sha256 IS NOT NULL GROUP BY 1) SELECT i.record_id, CASE WHEN f.first <> i.record_id THEN f.first END AS reused_from FROM iv i LEFT JOIN f ON f.image_sha256 = i.image_sha256")

@@ -15,6 +15,7 @@ from boxloom.operators import audit as A
 from boxloom.operators import matching as M
 from boxloom.operators import metrics as E
 from boxloom.operators import search_space as Z
+from boxloom.operators import allocation
 from boxloom.operators.allocation import allocate, one_trial
 
 
@@ -176,6 +177,29 @@ def test_allocation(spark):
     assert one[0] == 0 and sorted(one[1]) == [0, 1, 1]
 
 
+def test_allocation_of_many_components(spark, monkeypatch):
+    shares = {"train": 0.7, "valid": 0.15, "test": 0.15}
+    df = spark.range(300_000).select(F.col("id").alias("k"), (F.lit(1) + (F.col("id") % 1000 == 0).cast("int") * 30).alias("images"), (F.col("id") % 7).alias("boxes"))
+    for most in (200_000, 12):
+        # above the limit on kinds metrics are told apart in bands, and still everything is dealt
+        monkeypatch.setattr(allocation, "MOST_KINDS", most)
+        got = allocate(df, "k", ["images", "boxes"], shares, 4).join(df, "k")
+        sums = {r["split"]: r for r in got.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("images").alias("images"), F.sum("boxes").alias("boxes")).collect()}
+        assert sum(r["n"] for r in sums.values()) == 300_000 == got.select("k").distinct().count()
+        assert all(abs(sums[s]["images"] / sum(r["images"] for r in sums.values()) - v) < 0.002 for s, v in shares.items())
+
+
+def test_split_trials_deals_whole_components(spark, tables):
+    from __spark_entry__ import queries
+
+    dealt = {r["component"]: r["split"] for r in queries()["split_trials"](spark, tables).collect()}
+    tied = {r["record_id"]: r["component"] for r in queries()["record_components"](spark, tables).collect()}
+    records = [r[0] for r in queries()["inventory"](spark, tables).select("record_id").collect()]
+    assert set(dealt) == {tied.get(r, r) for r in records}
+    per = {s: sum(dealt[tied.get(r, r)] == s for r in records) / len(records) for s in ("train", "valid", "test")}
+    assert abs(per["train"] - 0.7) < 0.03 and abs(per["valid"] - 0.15) < 0.03
+
+
 def test_search_steps():
     rng = np.random.default_rng(1)
     parents = np.array([[1.0, 2.0], [3.0, 4.0]])
