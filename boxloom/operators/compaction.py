@@ -23,7 +23,7 @@ from boxloom.operators.packing import first_fit_decreasing
 from boxloom.operators.ranking import bucketed_rank
 from boxloom.runtime import scratch_path, settle
 
-#: Sizes are packed in at most so many steps of the capacity, so a plan has at most so many size classes.
+#: A plan has at most so many size classes: small sizes are exact, larger ones are rounded up to a few leading bits.
 SIZE_CLASSES = 65_536
 
 
@@ -60,23 +60,31 @@ def resolve_deliveries(listed: DataFrame) -> DataFrame:
     return listed.groupBy(key.alias("_key")).agg(best.alias("f"), F.count(F.lit(1)).alias("deliveries")).select("f.*", "deliveries")
 
 
+def exact_bits(bin_bytes: int) -> int:
+    """How many leading bits of sizes up to ``bin_bytes`` can be kept in ``SIZE_CLASSES`` classes (13 for 128 MiB)."""
+    length = max(1, (bin_bytes - 1).bit_length())
+    # sizes of up to b bits are exact, each further doubling has 2 ** (b - 1) classes
+    return max(b for b in range(1, length + 1) if b == 1 or (bin_bytes if b == length else (1 << b) + (length - b) * (1 << (b - 1))) <= SIZE_CLASSES)
+
+
 def assign_bins(chosen: DataFrame, bin_bytes: int) -> DataFrame:
     """Adds ``bin_id`` by first-fit decreasing over the histogram of sizes.
 
     The driver sees the histogram only: at most ``SIZE_CLASSES`` rows. Its plan, a list of runs per size, goes back
-    as a table of at most as many rows.
+    as a table of at most as many rows. Sizes of a few leading bits are exact (below 8 KiB for bins of 128 MiB), others
+    are rounded up by less than one in 2 ** 12 there, so tiny files fill a bin as well as large ones.
     """
     spark = chosen.sparkSession
-    grain = max(1, -(-bin_bytes // SIZE_CLASSES))
-    room = max(1, bin_bytes // grain)
-    size = F.least(F.greatest(F.ceil(F.col("n_bytes") / grain), F.lit(1)), F.lit(room)).cast("int")
-    sized = chosen.withColumn("_size", size)
+    room = max(1, bin_bytes)
+    plain = F.least(F.greatest(F.col("n_bytes"), F.lit(1)), F.lit(room)).cast("long")
+    step = F.pow(F.lit(2), F.greatest(F.length(F.bin(plain)) - exact_bits(room), F.lit(0))).cast("long")
+    sized = chosen.withColumn("_size", F.least(F.ceil(plain / step) * step, F.lit(room)).cast("long"))
     histogram = {r["_size"]: r["n"] for r in sized.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = first_fit_decreasing(histogram, room)
     by_size: dict[int, list[tuple[int, int, int, int]]] = {}
     for r in runs:
         by_size.setdefault(r.size, []).append((r.lo, r.hi, r.first_bin, r.per_bin))
-    plan = spark.createDataFrame(sorted(by_size.items()), "_size int, _runs array<struct<lo:bigint,hi:bigint,first_bin:bigint,per_bin:bigint>>")
+    plan = spark.createDataFrame(sorted(by_size.items()), "_size bigint, _runs array<struct<lo:bigint,hi:bigint,first_bin:bigint,per_bin:bigint>>")
     ranked = bucketed_rank(sized, ["_size"], [F.col("file_id")], F.col("file_id"), "_rank").drop("_n", "_bucket")
     run = F.element_at(F.filter("_runs", lambda x: (x["lo"] <= F.col("_rank")) & (F.col("_rank") < x["hi"])), 1)
     placed = ranked.join(F.broadcast(plan), "_size").withColumn("_run", run)

@@ -79,6 +79,28 @@ def test_rewrite_is_whole(spark, size):
     assert all(r["b"] <= size or r["n"] == 1 for r in full)
 
 
+def test_tiny_files_fill_a_bin_of_production_size(spark):
+    sizes = spark.range(150_000).select(F.col("id").alias("file_id"), F.when(F.col("id") < 3, 100_000_000 + F.col("id")).when(F.col("id") == 3, 34_000_000).otherwise(F.col("id") % 90).alias("n_bytes"))
+    got = C.assign_bins(sizes, 128 << 20).groupBy("bin_id").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    # three files of 100 MB can't share; the one of 34 MB fits beside one of them, and so does every tiny one
+    assert len(got) == 3 and sum(r["n"] for r in got) == 150_000 and all(r["b"] <= 128 << 20 for r in got)
+    tiny = C.assign_bins(sizes.filter("file_id > 3"), 128 << 20)
+    assert tiny.select("bin_id").distinct().count() == 1
+    # a bin of tiny files is filled to its last bytes
+    full = C.assign_bins(spark.range(70_000).select(F.col("id").alias("file_id"), F.lit(2000).cast("long").alias("n_bytes")), 128 << 20)
+    assert full.groupBy("bin_id").count().orderBy("bin_id").first()["count"] == (128 << 20) // 2000
+
+
+@pytest.mark.parametrize("room", [1, 64, 65_536, 65_537, 100_000, 300_000])
+def test_size_classes_are_few(room):
+    bits = C.exact_bits(room)
+    step = [1 << max(0, s.bit_length() - bits) for s in range(1, room + 1)]
+    rounded = [min(room, -(-s // k) * k) for s, k in enumerate(step, 1)]
+    assert all(s <= r < s + k for s, (r, k) in enumerate(zip(rounded, step), 1)) and len(set(rounded)) <= C.SIZE_CLASSES
+    assert room > 65_536 or rounded == list(range(1, room + 1))
+    assert C.exact_bits(128 << 20) == 13
+
+
 def test_empty_table(spark):
     rows, report = C.compact(files(spark, []))
     assert rows.count() == 0 and report.count() == 0
