@@ -89,24 +89,27 @@ def _iou_matrix(a: np.ndarray, b: np.ndarray, eps: float = 1e-7) -> np.ndarray:
     return inter / (area(a)[:, None] + area(b)[None, :] - inter + eps)
 
 
-def greedy_nms(ranked: DataFrame, limit: float, most: int = 300, candidates: int = 30_000) -> DataFrame:
+def greedy_nms(ranked: DataFrame, limit: float, most: int | None = 300, candidates: int | None = 30_000) -> DataFrame:
     """Sequential suppression per run, image and class, then at most ``most`` boxes per image by score.
 
     What overlaps a kept box by more than ``limit`` goes. The order is inherent, so the boxes of one image and class
-    (at most ``candidates``, which is part of the operator) are folded in rank order; the fold stays in the JVM and
-    stops keeping after ``most`` boxes, as no more can survive the limit per image.
+    (of the first ``candidates`` of the image, as in the original) are folded in rank order; the fold stays in the JVM
+    and stops keeping after ``most`` boxes, as no more can survive the limit per image. None lifts either limit.
     """
     keys = ["run_id", "image_id", "cls"]
     box = F.struct("det", "score", "x1", "y1", "x2", "y2")
     kind = "array<struct<det:int,score:double,x1:double,y1:double,x2:double,y2:double>>"
-    listed = ranked.filter(F.col("det") <= candidates).groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    ranked = ranked if candidates is None else ranked.filter(F.col("det") <= candidates)
+    listed = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
     corners = lambda b: (b["x1"], b["y1"], b["x2"], b["y2"])
 
     def take(kept, b):
         beaten = F.exists(kept, lambda k: B.iou(corners(k), corners(b)) > limit)
-        return F.when(beaten | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(b)))
+        return F.when(beaten if most is None else beaten | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(b)))
 
     kept = listed.select(*keys, F.explode(F.aggregate("boxes", F.array().cast(kind), take)).alias("b")).select(*keys, "b.*")
+    if most is None:
+        return kept
     w = Window.partitionBy("run_id", "image_id").orderBy("det")
     return kept.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
 

@@ -223,7 +223,7 @@ SELECT run_id, image_id, cls, unnest(list_transform(kept, lambda h: h.det)) AS d
 @query(_NMS)
 def greedy_nms(spark, d):
     """Sequential suppression per class after a score limit."""
-    kept = M.greedy_nms(predictions(spark, d).filter("score > 0.25"), 0.5, most=1_000_000)
+    kept = M.greedy_nms(predictions(spark, d).filter("score > 0.25"), 0.5, most=None, candidates=None)
     return kept.select("run_id", "image_id", "cls", "det")
 
 

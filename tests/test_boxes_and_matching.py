@@ -166,6 +166,15 @@ def test_components_equal_union_find(spark, seed):
     assert A.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_suppression_query_has_no_limit_of_candidates(spark, monkeypatch):
+    from boxloom.plans import detection_queries
+
+    rows = boxes(spark, [("r", "i", 0, 0.9, 0, 0, 9, 9), ("r", "i", 0, 0.8, 50, 50, 60, 60)]).withColumn("det", F.when(F.col("score") > 0.85, 1).otherwise(30_001))
+    monkeypatch.setattr(detection_queries, "predictions", lambda spark, d: rows)
+    assert sorted(r["det"] for r in detection_queries.greedy_nms(spark, "").collect()) == [1, 30_001]
+    assert [r["det"] for r in M.greedy_nms(rows, 0.5).collect()] == [1]
+
+
 def test_allocation(spark):
     rng = random.Random(4)
     rows = [(f"c{i}", rng.choice([1, 1, 2, 5, 40]), rng.randint(0, 9)) for i in range(200)]
