@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.operators.ranking import bucketed_rank
+from boxloom.operators.ranking import ordered_rank
 
 #: Kinds of components (equal metrics) that a trial can hold; if there are more, metrics are told apart in bands only.
 MOST_KINDS = 200_000
@@ -88,7 +88,7 @@ def allocate(components: DataFrame, key: str, metrics: list[str], shares: dict[s
     best = tried.agg(F.min(F.struct("error", "trial")).alias("m")).select("m.*").first()
     _, dealt = counted_trial(*held.value, seed + best["trial"])
     plan = spark.createDataFrame([(r["_kind"], [int(e) for e in ends]) for r, ends in zip(rows, dealt.cumsum(1))], "_plan array<double>, _ends array<bigint>")
-    ranked = bucketed_rank(told, ["_kind"], [F.xxhash64(key), F.col(key)], F.col(key), "_rank")
+    ranked = ordered_rank(told, ["_kind"], [F.xxhash64(key), F.col(key)], "_rank")
     # the plan has a row per kind, so at most MOST_KINDS
     placed = ranked.join(F.broadcast(plan), F.col("_kind") == F.col("_plan"))
     at = F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))) + 1
@@ -97,8 +97,6 @@ def allocate(components: DataFrame, key: str, metrics: list[str], shares: dict[s
 
 def class_split(rows: DataFrame, key: str, label: str, share: float) -> DataFrame:
     """``first`` for the leading ``share`` of each class in the order of the key's hash, else ``second``."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(label)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(F.sha2(F.col(key).cast("string"), 256), key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.withColumn("split", F.when(F.col("_k") <= F.floor(F.col("_n") * share), "first").otherwise("second")).drop("_k", "_n")
+    placed = rows.withColumn("_order", F.sha2(F.col(key).cast("string"), 256))
+    ranked = ordered_rank(placed, [label], [F.col("_order"), F.col(key)], "_k", "_n")
+    return ranked.withColumn("split", F.when(F.col("_k") < F.floor(F.col("_n") * share), "first").otherwise("second")).select(*rows.columns, "split")

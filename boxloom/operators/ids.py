@@ -4,19 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from boxloom.runtime import settle
+from boxloom.operators.ranking import ordered_rank
 
 
 def running_ids(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
-    """Adds ``name``: ``start``, ``start + 1``, ... along ``order``, which must tell rows apart.
-
-    Rows are dealt to ranges of the order and kept there, numbered inside their range, and shifted by the rows of
-    the ranges before; the table of shifts has one row per range.
-    """
-    dealt = settle(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("_inside", inside).join(F.broadcast(shift), "_range").select(*df.columns, (F.col("_shift") + F.col("_inside") + (start - 1)).alias(name))
+    """Adds ``name``: ``start``, ``start + 1``, ... along ``order``, which must tell rows apart."""
+    return ordered_rank(df, [], [F.col(c) for c in order], name).withColumn(name, F.col(name) + start)

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boxloom.operators.ranking import running
+from boxloom.runtime import settle
+
 _EPS = 1e-16
+_CURVE = ["run_id", "cls", "threshold"]
 
 
 def labelled_hits(predictions: DataFrame, matches: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -27,19 +31,17 @@ def class_counts(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 def pr_curve(hits: DataFrame, counts: DataFrame) -> DataFrame:
     """Cumulative precision and recall by falling score within run, class and threshold.
 
-    Equal scores are ordered by image and rank, which is a choice; any order of ties is as good.
+    Equal scores are ordered by image and rank, which is a choice; any order of ties is as good. A curve of any length is
+    summed up range by range.
     """
-    w = Window.partitionBy("run_id", "cls", "threshold").orderBy(F.desc("score"), "image_id", "det")
-    seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = hits.join(counts.select("run_id", "cls", "n_truth"), ["run_id", "cls"])
-    both = ranked.withColumn("k", F.row_number().over(w)).withColumn("tps", F.sum("tp").over(seen))
+    both = running(ranked, _CURVE, [F.desc("score"), F.col("image_id").asc(), F.col("det").asc()], "k", {"tps": "tp"})
     return both.select("run_id", "cls", "threshold", "k", "score", "n_truth", "tps", (F.col("tps") / (F.col("n_truth") + _EPS)).alias("recall"), (F.col("tps") / F.col("k")).alias("precision"))
 
 
 def envelope(curve: DataFrame) -> DataFrame:
     """``best``: the greatest precision from this recall on."""
-    w = Window.partitionBy("run_id", "cls", "threshold").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return curve.withColumn("best", F.max("precision").over(w))
+    return running(curve, _CURVE, [F.desc("k")], "_from_end", maxima={"best": "precision"}).drop("_from_end")
 
 
 def average_precision(curve: DataFrame, counts: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -48,14 +50,14 @@ def average_precision(curve: DataFrame, counts: DataFrame, thresholds: list[floa
     The curve starts at (0, 1) and ends at (1, 0); between points it is linear. A class with truth but no
     predictions has 0. Samples fall into segments by an equi-join on whole hundredths, not by comparing all pairs.
     """
-    keys = ["run_id", "cls", "threshold"]
-    w = Window.partitionBy(*keys).orderBy("k")
-    last = Window.partitionBy(*keys)
-    top = envelope(curve).withColumn("n", F.max("k").over(last))
-    points = top.select(*keys, "k", "recall", "best", F.lag("recall", 1, 0.0).over(w).alias("r0"), F.coalesce(F.lag("best").over(w), F.greatest(F.lit(1.0), "best")).alias("p0"), (F.col("k") == F.col("n")).alias("is_last"))
+    keys = _CURVE
+    top = settle(envelope(curve).select(*keys, "k", "recall", "best"))
+    # each point meets the one before by its number
+    before = top.select(*keys, (F.col("k") + 1).alias("k"), F.col("recall").alias("r0"), F.col("best").alias("p0"))
+    points = top.join(before, [*keys, "k"], "left").select(*keys, "recall", "best", F.coalesce("r0", F.lit(0.0)).alias("r0"), F.coalesce("p0", F.greatest(F.lit(1.0), "best")).alias("p0"))
     # the last point goes on to (1, 0)
-    tail = points.filter("is_last").select(*keys, F.lit(2**31 - 1).alias("k"), F.lit(1.0).alias("recall"), F.lit(0.0).alias("best"), F.col("recall").alias("r0"), F.col("best").alias("p0"))
-    segments = points.drop("is_last").unionByName(tail)
+    tail = top.groupBy(*keys).agg(F.max(F.struct("k", "recall", "best")).alias("m")).select(*keys, F.lit(1.0).alias("recall"), F.lit(0.0).alias("best"), F.col("m.recall").alias("r0"), F.col("m.best").alias("p0"))
+    segments = points.unionByName(tail)
     # samples i/100 with r0 < i/100 <= recall; recall 0 belongs to the first point
     lo, hi = F.floor(F.col("r0") * 100 + 1e-9) + 1, F.floor(F.col("recall") * 100 + 1e-9)
     sampled = segments.filter(lo <= hi).select(*keys, "recall", "best", "r0", "p0", F.explode(F.sequence(lo, hi)).alias("i"))
@@ -78,8 +80,8 @@ def summary(ap: DataFrame) -> DataFrame:
 def operating_point(curve: DataFrame) -> DataFrame:
     """Per run and class the point of the curve with the greatest F1: ``precision, recall, f1, score``; the first one of equals."""
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + _EPS)
-    w = Window.partitionBy("run_id", "cls", "threshold").orderBy(F.desc("f1"), "k")
-    return curve.withColumn("f1", f1).withColumn("r", F.row_number().over(w)).filter("r = 1").select("run_id", "cls", "threshold", "precision", "recall", "f1", "score")
+    best = F.max_by(F.struct("precision", "recall", "f1", "score"), F.struct("f1", (-F.col("k")).alias("i"))).alias("m")
+    return curve.withColumn("f1", f1).groupBy(*_CURVE).agg(best).select(*_CURVE, "m.*")
 
 
 def confusion_rates(confusion: DataFrame) -> DataFrame:

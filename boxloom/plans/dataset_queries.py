@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxloom.functions import geometry as G
 from boxloom.functions import text as X
 from boxloom.functions.names import label_path_of, source_name, usable_split
 from boxloom.operators import audit as A
 from boxloom.operators import search as V
+from boxloom.operators.ranking import ordered_rank
 from boxloom.plans import shared_sql as S
 from boxloom.plans.registry import Registry
 from boxloom.runtime import read_table
@@ -131,10 +131,9 @@ def width_percentiles(spark, d):
 @query(f"WITH {_I}, s AS (SELECT dataset, height, row_number() OVER (PARTITION BY dataset ORDER BY height) AS k, count(*) OVER (PARTITION BY dataset) AS n FROM iv WHERE height IS NOT NULL) SELECT dataset, height AS p95 FROM s WHERE k = CAST(round_even((n - 1) * 0.95, 0) AS BIGINT) + 1")
 def nearest_rank_heights(spark, d):
     """The 95th percentile of the height per dataset by nearest rank, rounded half to even."""
-    rows = inv(spark, d).filter("height is not null")
-    w = Window.partitionBy("dataset")
-    ranked = rows.withColumn("k", F.row_number().over(w.orderBy("height"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("k") == F.bround((F.col("n") - 1) * 0.95).cast("bigint") + 1).select("dataset", F.col("height").alias("p95"))
+    rows = inv(spark, d).filter("height is not null").select("dataset", "height")
+    ranked = ordered_rank(rows, ["dataset"], [F.col("height")], "k", "n")
+    return ranked.filter(F.col("k") == F.bround((F.col("n") - 1) * 0.95).cast("bigint")).select("dataset", F.col("height").alias("p95"))
 
 
 @query(f"WITH {_I} SELECT source, count(*) AS rows, count(DISTINCT split) AS splits FROM iv WHERE source IS NOT NULL AND split IS NOT NULL GROUP BY source HAVING count(DISTINCT split) > 1")
@@ -283,17 +282,20 @@ def size_histogram(spark, d):
 def aspect_batches(spark, d):
     """Batches of 16 images of like aspect within each dataset."""
     rows = inv(spark, d).filter("width between 1 and 12000 and height between 1 and 12000").select("dataset", "record_id", (F.col("width") / F.col("height")).alias("ratio"))
-    w = Window.partitionBy("dataset").orderBy("ratio", "record_id")
-    batched = rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / 16))
+    batched = ordered_rank(rows, ["dataset"], [F.col("ratio"), F.col("record_id")], "k").withColumn("batch", F.floor(F.col("k") / 16))
     return batched.groupBy("dataset", "batch").agg(F.count(F.lit(1)).alias("images"), F.round(F.min("ratio"), 6).alias("least"), F.round(F.max("ratio"), 6).alias("most"))
 
 
 @query(f"WITH {_I}, n AS (SELECT record_id, dataset, ntile(3) OVER (PARTITION BY dataset ORDER BY width * height, image, record_id) AS bin, width * height AS area FROM iv WHERE width BETWEEN 1 AND 12000 AND height BETWEEN 1 AND 12000) SELECT dataset, bin, count(*) AS images, min(area) AS least, median(area) AS middle, max(area) AS most FROM n GROUP BY ALL")
 def area_tertiles(spark, d):
     """Three equal bins by area within each dataset."""
-    rows = inv(spark, d).filter("width between 1 and 12000 and height between 1 and 12000").withColumn("area", F.col("width") * F.col("height"))
-    w = Window.partitionBy("dataset").orderBy("area", "image", "record_id")
-    return rows.withColumn("bin", F.ntile(3).over(w)).groupBy("dataset", "bin").agg(F.count(F.lit(1)).alias("images"), F.min("area").alias("least"), F.percentile("area", 0.5).alias("middle"), F.max("area").alias("most"))
+    rows = inv(spark, d).filter("width between 1 and 12000 and height between 1 and 12000").select("dataset", "image", "record_id", (F.col("width") * F.col("height")).alias("area"))
+    ranked = ordered_rank(rows, ["dataset"], [F.col("area"), F.col("image"), F.col("record_id")], "k", "n")
+    # the first n mod 3 bins have one row more
+    base, more = F.floor(F.col("n") / 3), F.col("n") % 3
+    long_ = F.floor(F.col("k") / (base + 1))
+    bin_ = F.when(F.col("k") < more * (base + 1), long_).otherwise(more + F.floor((F.col("k") - more * (base + 1)) / base))
+    return ranked.withColumn("bin", (bin_ + 1).cast("int")).groupBy("dataset", "bin").agg(F.count(F.lit(1)).alias("images"), F.min("area").alias("least"), F.percentile("area", 0.5).alias("middle"), F.max("area").alias("most"))
 
 
 @query(f"""WITH {_I}, s AS (SELECT record_id, width, height, unnest(range(0, CASE WHEN width <= 1024 THEN 1 ELSE CAST(ceil((width - 1024) / 824.0 + 1) AS BIGINT) END)) AS i FROM iv WHERE width BETWEEN 1 AND 12000 AND height BETWEEN 1 AND 12000),

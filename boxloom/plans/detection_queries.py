@@ -11,7 +11,7 @@ from boxloom.operators import matching as M
 from boxloom.operators import metrics as E
 from boxloom.plans import shared_sql as S
 from boxloom.plans.registry import Registry
-from boxloom.runtime import read_table
+from boxloom.runtime import read_table, settle
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -147,7 +147,8 @@ pr AS (SELECT *, tps / (n_truth + 1e-16) AS recall, tps / k AS precision FROM cu
 
 
 def _curve(spark, d):
-    p, t = predictions(spark, d), truth(spark, d)
+    # ranked once: overlaps, hits and counts all read it
+    p, t = settle(predictions(spark, d)), settle(truth(spark, d))
     counts = E.class_counts(p, t)
     return E.pr_curve(E.labelled_hits(p, M.evaluation_match(M.overlap_pairs(p, t), _T), _T), counts), counts
 

@@ -7,12 +7,14 @@ from pyspark.sql.window import Window
 
 from boxloom.functions import boxes as B
 from boxloom.functions import classes as K
+from boxloom.functions import geometry as G
 from boxloom.functions import text as X
 from boxloom.operators import allocation, ids, near_duplicates, tiling
 from boxloom.operators import audit as A
 from boxloom.operators import experiments as E
 from boxloom.operators import matching as M
 from boxloom.operators import metrics
+from boxloom.operators.ranking import ordered_rank
 from boxloom.plans import shared_sql as S
 from boxloom.plans.dataset_queries import _I as INVENTORY
 from boxloom.plans.dataset_queries import inv
@@ -97,6 +99,17 @@ def near_identical_groups(spark, d):
     return near_duplicates.groups(thumbs(spark, d), "record_id", "thumb").select(F.col("node").alias("record_id"), "component")
 
 
+@query("""WITH im AS (SELECT DISTINCT width, height FROM image_records WHERE width BETWEEN 1 AND 12000 AND height BETWEEN 1 AND 12000),
+la AS (SELECT width, height, layer, CAST(2 ** layer AS BIGINT) AS n, CAST(floor(least(width, height) * 0.34 * 2 / 2 ** layer) AS BIGINT) AS lap FROM im, range(0, 3) l(layer)),
+sd AS (SELECT *, CAST(ceil((width + lap * (n - 1)) / n) AS BIGINT) AS w, CAST(ceil((height + lap * (n - 1)) / n) AS BIGINT) AS h FROM la),
+ce AS (SELECT *, unnest(range(0, n)) AS i FROM sd), cf AS (SELECT *, unnest(range(0, n)) AS j FROM ce)
+SELECT width, height, CAST(layer AS INT) AS layer, CAST((w - lap) * i AS INT) AS x1, CAST((h - lap) * j AS INT) AS y1, CAST(least((w - lap) * i + w, width) AS INT) AS x2, CAST(least((h - lap) * j + h, height) AS INT) AS y2 FROM cf""")
+def crop_windows(spark, d):
+    """Two layers of overlapping crops, and the image itself, for every size of image that occurs."""
+    sizes = read_table(spark, d, "image_records").filter("width between 1 and 12000 and height between 1 and 12000").select("width", "height").distinct()
+    return sizes.select("width", "height", F.explode(G.crop_windows(F.col("width"), F.col("height"), 2, 0.34)).alias("c")).select("width", "height", "c.*")
+
+
 @query(f"WITH {S.GT}, o AS (SELECT image_id, box_no, cls, row_number() OVER (ORDER BY image_id, box_no) AS annotation_id FROM gt) SELECT * FROM o")
 def ground_truth_ids(spark, d):
     """Truth boxes with running annotation numbers."""
@@ -130,9 +143,8 @@ def reused_results(spark, d):
 @query(f"WITH {INVENTORY}, a AS (SELECT split, record_id, width * height AS area, row_number() OVER (PARTITION BY split ORDER BY width * height, record_id) AS k, count(*) OVER (PARTITION BY split) AS n FROM iv WHERE width BETWEEN 1 AND 12000 AND height BETWEEN 1 AND 12000) SELECT split, record_id, area, CASE WHEN k = 1 THEN 'least' WHEN k = n THEN 'most' ELSE 'middle' END AS place FROM a WHERE k IN (1, n // 2 + 1, n)")
 def area_extremes(spark, d):
     """The smallest, the middle and the largest image of each split."""
-    rows = inv(spark, d).filter("width between 1 and 12000 and height between 1 and 12000").withColumn("area", F.col("width") * F.col("height"))
-    w = Window.partitionBy("split")
-    ranked = rows.withColumn("k", F.row_number().over(w.orderBy("area", "record_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = inv(spark, d).filter("width between 1 and 12000 and height between 1 and 12000").select("split", "record_id", (F.col("width") * F.col("height")).alias("area"))
+    ranked = ordered_rank(rows, ["split"], [F.col("area"), F.col("record_id")], "k", "n").withColumn("k", F.col("k") + 1)
     place = F.when(F.col("k") == 1, "least").when(F.col("k") == F.col("n"), "most").otherwise("middle")
     return ranked.filter((F.col("k") == 1) | (F.col("k") == F.col("n")) | (F.col("k") == F.floor(F.col("n") / 2) + 1)).select("split", "record_id", "area", place.alias("place"))
 

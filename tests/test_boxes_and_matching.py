@@ -116,7 +116,11 @@ def test_points_and_polygons(spark):
     moves = spark.createDataFrame([(0.0, 5.0, 10.0, 5.0, True), (0.0, 5.0, 4.0, 5.0, False), (5.0, 5.0, 9.0, 5.0, True), (0.0, 20.0, 10.0, 20.0, False)], "px double, py double, qx double, qy double, want boolean")
     for r in moves.select("want", G.crosses(*[F.col(c) for c in ("px", "py", "qx", "qy")], (5, 0), (5, 10)).alias("got")).collect():
         assert r["got"] == r["want"]
-    assert len(G.crop_layers(100, 60, 2, 0.3)) == 1 + 4 + 16
+    crops = spark.sql("select 100 w, 60 h").select(F.explode(G.crop_windows(F.col("w"), F.col("h"), 2, 0.3)).alias("c")).select("c.*").collect()
+    assert len(crops) == 1 + 4 + 16 and tuple(crops[0]) == (0, 0, 0, 100, 60)
+    # 18 px overlap in the first layer: sides of 59 and 39, the second ones begin at 41 and 21
+    assert {tuple(c)[1:] for c in crops if c["layer"] == 1} == {(0, 0, 59, 39), (41, 0, 100, 39), (0, 21, 59, 60), (41, 21, 100, 60)}
+    assert all(0 <= c["x1"] < c["x2"] <= 100 and 0 <= c["y1"] < c["y2"] <= 60 for c in crops)
     assert spark.range(1).select(F.size(G.point_grid(4))).first()[0] == 16
     square = np.array([[0.0, 0], [4, 0], [4, 4], [0, 4]])
     assert P.area(square) == 16 and P.share_inside(square, (2, 2, 9, 9)) == 0.25 and P.share_inside(square, (5, 5, 9, 9)) == 0
