@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +24,8 @@ SPLIT_WORDS = {
     "test": ["test", "testing"],
 }
 
-_BLANK = r"[\s" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]"
+_BLANKS = " \t\n\x0b\f\r" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200C), 0x202F, 0x205F, 0x3000, 0xFEFF)))
+_BLANK = f"[{_BLANKS}]"
 _HYPHEN = "[-" + "".join(map(chr, (*range(0x2010, 0x2016), 0x2212))) + "]"
 _WIDE_CLASS = f"[{chr(0xFF01)}-{chr(0xFF5E)}{chr(0x3000)}]"
 
@@ -31,7 +37,7 @@ def narrow(text: Column) -> Column:
 
 def strip_blanks(text: Column) -> Column:
     """Without blanks of any kind at both ends."""
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.trim(text, F.lit(_BLANKS))
 
 
 def plain_name(text: Column) -> Column:
@@ -83,30 +89,74 @@ def digest_hex(text: Column) -> Column:
     )
 
 
+_MARK = "[\u0300-\u036f]"
+
+
+@lru_cache(maxsize=1)
+def _compositions() -> tuple[str, str, str]:
+    """(JSON of letter with mark -> composed letter, signs that have another usual form, these forms), from the Unicode tables."""
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xA8, 0x250), *range(0x386, 0x530), *range(0x1E00, 0x2000))]
+    pairs = {a + m: whole for a in letters for m in marks if len(whole := unicodedata.normalize("NFC", a + m)) == 1}
+    single = {chr(c): one for c in (*range(0x340, 0x390), *range(0x1F00, 0x2130), *range(0xF900, 0xFB00)) if len(one := unicodedata.normalize("NFC", chr(c))) == 1 and one != chr(c)}
+    return json.dumps(pairs), "".join(single), "".join(single.values())
+
+
+def composed(text: Column) -> Column:
+    """Letters followed by combining marks as single letters, as in the composed normal form; other text stays as it is.
+
+    Marks are taken up one by one from left to right. Only texts that hold a combining mark or a sign with another
+    usual form are walked through.
+    """
+    pairs, other, usual = _compositions()
+    table = F.from_json(F.lit(pairs), "map<string,string>")
+    last = lambda kept: F.when(F.size(kept) > 0, F.element_at(kept, -1))
+
+    def take(kept: Column, c: Column) -> Column:
+        whole = F.when(c.rlike(_MARK), F.try_element_at(table, F.concat(last(kept), c)))
+        return _let(whole, lambda w: F.when(w.isNotNull(), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(w))).otherwise(F.concat(kept, F.array(c))))
+
+    walked = lambda t: F.array_join(F.aggregate(F.split(t, ""), F.array().cast("array<string>"), take), "")
+    plain = F.when(text.rlike(f"[{other}]"), F.translate(text, other, usual)).otherwise(text)
+    return _let(plain, lambda t: F.when(t.rlike(_MARK), walked(t)).otherwise(t))
+
+
 def tidy_path(path: Column) -> Column:
     """A relative path as the place it leads to; case is kept.
 
-    Blanks at the ends go, percent escapes are decoded, backslashes become slashes, repeated slashes and
-    ``.`` steps vanish, and ``..`` takes back the step before it.
+    Blanks at the ends go, percent escapes are decoded, letters with combining marks are composed, backslashes become
+    slashes, repeated slashes and ``.`` steps vanish, and ``..`` takes back the step before it.
     """
-    text = strip_blanks(path)
+    # most paths are tidy already: plain signs, no blanks at the ends, no empty or dotted steps
+    return F.when(path.rlike(_TIDY), path).otherwise(_let(_let(strip_blanks(path), _decoded), _stepped))
+
+
+_TIDY = r"^(?!\.{0,2}(?:/|\z)|.*/\.{0,2}(?:/|\z))[!-$&-\[\]-~](?:[ -$&-\[\]-~]*[!-$&-\[\]-~])?\z"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _decoded(text: Column) -> Column:
     # url_decode reads '+' as a blank and fails on a stray '%', so both are protected first
     guarded = F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    text = F.when(F.instr(text, "%") > 0, F.coalesce(F.try_url_decode(guarded), text)).otherwise(text)
-    parts = F.split(F.translate(text, "\\", "/"), "/")
-    steps = F.filter(parts, lambda p: (p != "") & (p != "."))
+    plain = F.when(F.instr(text, "%") > 0, F.coalesce(F.try_url_decode(guarded), text)).otherwise(text)
+    return _let(F.translate(plain, "\\", "/"), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), composed(t)).otherwise(t))
+
+
+def _stepped(text: Column) -> Column:
+    steps = F.filter(F.split(text, "/"), lambda p: (p != "") & (p != "."))
     done = F.aggregate(
         steps,
         F.array().cast("array<string>"),
         lambda kept, p: F.when((p == "..") & (F.size(kept) > 0) & (F.element_at(kept, -1) != ".."), F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.concat(kept, F.array(p))),
     )
-    slow = F.array_join(done, "/")
-    fast = F.regexp_replace(F.regexp_replace(F.translate(text, "\\", "/"), "/{2,}", "/"), "^/|/$", "")
-    return F.when(text.rlike(r"(^|[/\\])\.{1,2}([/\\]|$)"), slow).otherwise(fast)
+    return F.array_join(done, "/")
 
 
 def label_path_of(image: Column) -> Column:
     """The label file of an image: the last ``images`` folder becomes ``labels``, the suffix ``.txt``."""
-    place = tidy_path(image)
-    moved = F.regexp_replace(place, r"^(.*/|)images/", "$1labels/")
+    moved = F.regexp_replace(tidy_path(image), r"^(.*/|)images/", "$1labels/")
     return F.concat(F.regexp_replace(moved, r"\.[^./]*$", ""), F.lit(".txt"))

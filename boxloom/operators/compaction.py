@@ -2,10 +2,12 @@
 
 The steps are those of a table maintenance job: freeze a manifest of what is there, resolve which deliveries
 are the same file, pack the files into bins by first-fit decreasing, rewrite bin by bin, verify counts and
-checksums of what was written against the manifest, and publish the result by one rename.
+checksums of what was written against the manifest, and publish the result by one rename. All planning works on the
+manifest, which has sizes and hashes; bodies are read for it and moved once, at the rewrite.
 
 Defined results: a row whose ``label`` and ``image`` are both null or blank has no place (``path`` null); it is
-kept as a file of its own. A null body counts as empty (0 bytes). Files of 0 bytes take one byte of a bin, so that
+kept as a file of its own (equal rows without place are one file). A row without ``file_id`` takes part as any other
+but is in no pair. A null body counts as empty (0 bytes). Files of 0 bytes take one byte of a bin, so that
 no bin collects empty files without limit. A file larger than a bin gets a bin of its own. An empty table gives
 an empty manifest and no bins. Further columns of the input are ignored, whatever their names.
 """
@@ -14,40 +16,47 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.functions.labels import good_line_count
 from boxloom.functions.names import label_path_of, strip_blanks, tidy_path
 from boxloom.operators.packing import first_fit_decreasing
-from boxloom.operators.ranking import bucketed_rank
+from boxloom.operators.ranking import lookup, meet, ordered_rank
 from boxloom.runtime import scratch_path, settle
 
 #: A plan has at most so many size classes: small sizes are exact, larger ones are rounded up to a few leading bits.
 SIZE_CLASSES = 65_536
 
 
+def _hash_of_body() -> Column:
+    return F.xxhash64(F.coalesce("body", F.lit("")))
+
+
 def manifest(files: DataFrame) -> DataFrame:
-    """One row per delivered file: ``file_id, path, body, n_bytes, n_boxes, modified_at``, with no path for nameless rows."""
+    """One row per delivered file, without its body: ``file_id, path, n_bytes, n_boxes, body_hash, modified_at``; no path for nameless rows."""
     label, image = strip_blanks(F.col("label")), strip_blanks(F.col("image"))
     path = F.when(label != "", tidy_path(F.col("label"))).when(image != "", label_path_of(F.col("image")))
     return files.select(
         "file_id",
         path.alias("path"),
-        F.coalesce("body", F.lit("")).alias("body"),
         F.octet_length(F.coalesce("body", F.lit(""))).cast("long").alias("n_bytes"),
         good_line_count(F.col("body")).alias("n_boxes"),
+        _hash_of_body().alias("body_hash"),
         "modified_at",
     )
 
 
 def same_file_pairs(listed: DataFrame) -> DataFrame:
-    """Pairs of manifest rows that lead to one place: ``file_id_a < file_id_b``. Only places with several rows are joined."""
-    named = listed.select("file_id", "path").filter("path is not null")
+    """Pairs of manifest rows that lead to one place: ``file_id_a < file_id_b``.
+
+    Places are worked out once; only those with several rows are joined, portion by portion where one has many.
+    """
+    named = settle(listed.select("file_id", "path").filter("path is not null and file_id is not null"))
     several = named.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("path")
-    rows = named.join(several, "path")
+    rows = lookup(named, several, "path", "inner")
     a, b = rows.select("path", F.col("file_id").alias("file_id_a")), rows.select("path", F.col("file_id").alias("file_id_b"))
-    return a.join(b, "path").filter("file_id_a < file_id_b").select("file_id_a", "file_id_b")
+    return meet(a, b, "path").filter("file_id_a < file_id_b").select("file_id_a", "file_id_b")
 
 
 def resolve_deliveries(listed: DataFrame) -> DataFrame:
@@ -55,9 +64,9 @@ def resolve_deliveries(listed: DataFrame) -> DataFrame:
 
     The choice is one map-side combined maximum, so a file delivered millions of times needs no sort.
     """
-    key = F.coalesce(F.col("path"), F.concat(F.lit("\0"), F.col("file_id").cast("string")))
-    best = F.max_by(F.struct("file_id", "path", "body", "n_bytes", "n_boxes"), F.struct("n_boxes", "n_bytes", "modified_at", -F.col("file_id")))
-    return listed.groupBy(key.alias("_key")).agg(best.alias("f"), F.count(F.lit(1)).alias("deliveries")).select("f.*", "deliveries")
+    own = F.concat_ws("\0", F.lit(""), F.col("file_id").cast("string"), F.col("body_hash").cast("string"))
+    best = F.max_by(F.struct("file_id", "path", "n_bytes", "n_boxes", "body_hash"), F.struct("n_boxes", "n_bytes", "modified_at", -F.col("file_id")))
+    return listed.groupBy(F.coalesce("path", own).alias("_key")).agg(best.alias("f"), F.count(F.lit(1)).alias("deliveries")).select("f.*", "deliveries")
 
 
 def exact_bits(bin_bytes: int) -> int:
@@ -85,19 +94,20 @@ def assign_bins(chosen: DataFrame, bin_bytes: int) -> DataFrame:
     for r in runs:
         by_size.setdefault(r.size, []).append((r.lo, r.hi, r.first_bin, r.per_bin))
     plan = spark.createDataFrame(sorted(by_size.items()), "_size bigint, _runs array<struct<lo:bigint,hi:bigint,first_bin:bigint,per_bin:bigint>>")
-    ranked = bucketed_rank(sized, ["_size"], [F.col("file_id")], F.col("file_id"), "_rank").drop("_n", "_bucket")
+    ranked = ordered_rank(sized, ["_size"], [F.col("file_id")], "_rank")
     run = F.element_at(F.filter("_runs", lambda x: (x["lo"] <= F.col("_rank")) & (F.col("_rank") < x["hi"])), 1)
     placed = ranked.join(F.broadcast(plan), "_size").withColumn("_run", run)
     return placed.select(*chosen.columns, F.expr("_run.first_bin + (_rank - _run.lo) div _run.per_bin").alias("bin_id"))
 
 
 def _sums(df: DataFrame) -> DataFrame:
-    """Per bin: rows, bytes, boxes and an order-free checksum of ids, places and bodies."""
+    """Per bin: rows, bytes, boxes and two order-free checksums of ids, places and bodies (equal rows cancel in the first only)."""
+    row = F.xxhash64("file_id", "path", "body_hash")
     return df.groupBy("bin_id").agg(
         F.count(F.lit(1)).alias("n_files"),
         F.sum("n_bytes").alias("n_bytes"),
         F.sum("n_boxes").alias("n_boxes"),
-        F.bit_xor(F.xxhash64("file_id", "path", "body")).alias("checksum"),
+        F.struct(F.bit_xor(row).alias("all"), F.sum(row.bitwiseAND(0xFFFFFFFF)).alias("low")).alias("checksum"),
     )
 
 
@@ -116,13 +126,16 @@ def compact(files: DataFrame, target: str | None = None, bin_bytes: int = 128 <<
     spark = files.sparkSession
     target = target or scratch_path(spark, "compacted")
     staged = f"{target}._staging"
-    frozen = settle(assign_bins(resolve_deliveries(manifest(files)), bin_bytes))
-    expected = _sums(frozen)
-    rows = frozen.count()
-    bins = expected.agg(F.max("bin_id")).first()[0]
+    plan = settle(assign_bins(resolve_deliveries(settle(manifest(files))), bin_bytes))
+    expected = _sums(plan)
+    totals = plan.agg(F.count(F.lit(1)).alias("rows"), F.max("bin_id").alias("last")).first()
+    # bodies come in here only: to the row of the plan that chose them, and on to their bin
+    id_of = F.coalesce("file_id", F.lit(-(1 << 63))).alias("_id")
+    bodies = files.select(id_of, _hash_of_body().alias("body_hash"), F.coalesce("body", F.lit("")).alias("body")).groupBy("_id", "body_hash").agg(F.min("body").alias("body"))
+    moved = plan.select("*", id_of).join(bodies, ["_id", "body_hash"]).select("file_id", "path", "body", "n_bytes", "n_boxes", "deliveries", "bin_id")
     # one partition, and so one file, per bin
-    frozen.repartitionById((bins or 0) + 1, F.col("bin_id").cast("int")).sortWithinPartitions("path").write.mode("errorifexists").parquet(staged)
-    written = spark.read.parquet(staged)
+    moved.repartitionById((totals["last"] or 0) + 1, F.col("bin_id").cast("int")).sortWithinPartitions("path").write.mode("errorifexists").parquet(staged)
+    written = spark.read.parquet(staged).withColumn("body_hash", _hash_of_body())
     a, b = expected.alias("a"), _sums(written).alias("b")
     report = a.join(b, F.col("a.bin_id") == F.col("b.bin_id"), "full").select(
         F.coalesce("a.bin_id", "b.bin_id").alias("bin_id"), "a.n_files", "a.n_bytes", "a.n_boxes",
@@ -136,7 +149,7 @@ def compact(files: DataFrame, target: str | None = None, bin_bytes: int = 128 <<
         fs.delete(path(staged), True)
         raise ValueError(f"the rewritten bins {wrong} differ from the manifest")
     note = fs.create(path(f"{staged}/_MANIFEST.json"), True)
-    note.write(bytearray(json.dumps({"rows": rows, "bin_bytes": bin_bytes}).encode()))
+    note.write(bytearray(json.dumps({"rows": totals["rows"], "bin_bytes": bin_bytes}).encode()))
     note.close()
     if not fs.rename(path(staged), path(target)):
         raise OSError(f"{target} could not be published")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from boxloom.operators import compaction as C
 from boxloom.operators.packing import best_fit_decreasing, first_fit_decreasing
-from boxloom.operators.ranking import bucketed_rank, lookup
+from boxloom.operators.ranking import lookup, meet, ordered_rank, running
 
 
 def bins_of(runs):
@@ -48,7 +48,7 @@ SCHEMA = "file_id bigint, label string, image string, body string, size_bytes bi
 
 def files(spark, rows):
     day = datetime.datetime(2025, 1, 1)
-    return spark.createDataFrame([(i, lab, img, body, 0, "d", day + datetime.timedelta(days=i), "clash", 9) for i, lab, img, body in rows], SCHEMA)
+    return spark.createDataFrame([(i, lab, img, body, 0, "d", day + datetime.timedelta(days=i or 0), "clash", 9) for i, lab, img, body in rows], SCHEMA)
 
 
 ROWS = [
@@ -67,12 +67,16 @@ def test_pairs_and_choice(spark):
     listed = C.manifest(files(spark, ROWS))
     assert {tuple(r) for r in C.same_file_pairs(listed).collect()} == {(1, 2), (1, 3), (2, 3)}
     kept = {r["file_id"]: r for r in C.resolve_deliveries(listed).collect()}
-    assert set(kept) == {3, 4, 5, 6, 7, 8} and kept[3]["deliveries"] == 3 and kept[4]["body"] == ""
+    assert set(kept) == {3, 4, 5, 6, 7, 8} and kept[3]["deliveries"] == 3 and kept[4]["n_bytes"] == 0
+    # without place or id rows are told apart by their bodies
+    odd = C.resolve_deliveries(C.manifest(files(spark, [(None, None, None, "a"), (None, None, None, "b"), (None, None, None, "a"), (9, None, None, "a")]))).collect()
+    assert sorted((r["file_id"] or 0, r["deliveries"]) for r in odd) == [(0, 1), (0, 2), (9, 1)]
 
 
 @pytest.mark.parametrize("size", [64, 4096])
 def test_rewrite_is_whole(spark, size):
     rows, report = C.compact(files(spark, ROWS), bin_bytes=size)
+    assert {(r["file_id"], r["body"]) for r in rows.collect()} == {(i, body or "") for i, _, _, body in ROWS if i not in (1, 2)}
     assert rows.count() == 6 and rows.agg(F.sum("n_boxes")).first()[0] == 504
     assert report.filter("not (n_files_ok and n_bytes_ok and n_boxes_ok and checksum_ok)").isEmpty()
     full = rows.groupBy("bin_id").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
@@ -122,14 +126,29 @@ def test_bad_copy_is_not_published(spark, monkeypatch, tmp_path):
     assert not list(tmp_path.iterdir())
 
 
-def test_ranks_without_gaps(spark):
+def test_rows_without_id_are_rewritten(spark):
+    rows, _ = C.compact(files(spark, [(None, "a.txt", None, "x"), (1, "b.txt", None, "y"), (1, "b.txt", None, "y"), (None, None, None, None)]))
+    assert sorted(tuple(r) for r in rows.select("path", "body", "deliveries").fillna("-").collect()) == [("-", "", 1), ("a.txt", "x", 1), ("b.txt", "y", 2)]
+
+
+def test_ranks_follow_the_order_in_hot_keys_too(spark):
     random.seed(1)
-    df = spark.createDataFrame([(i, random.choice(["hot", "hot", "hot", "b", None])) for i in range(2000)], "i int, k string")
-    rows = bucketed_rank(df, ["k"], [F.col("i")], F.col("i"), "r", rows_per_bucket=100).collect()
+    df = spark.createDataFrame([(i, random.choice(["hot", "hot", "hot", "b", None])) for i in range(2000)], "i int, k string").repartition(7)
+    rows = ordered_rank(df, ["k"], [F.desc("i")], "r", "n").collect()
     for k in ("hot", "b", None):
-        got = sorted(r["r"] for r in rows if r["k"] == k)
-        assert got == list(range(len(got)))
-    assert len(rows) == 2000 and max(r["_bucket"] for r in rows) > 0
+        got = sorted((r["r"], -r["i"]) for r in rows if r["k"] == k)
+        assert [r for r, _ in got] == list(range(len(got))) and sorted(got, key=lambda x: x[1]) == got and {r["n"] for r in rows if r["k"] == k} == {len(got)}
+    assert len(rows) == 2000 and ordered_rank(df.filter("i < 0"), ["k"], [F.col("i")]).count() == 0
+    for r in running(df, ["k"], [F.col("i").asc()], "r", {"s": "i"}, {"m": "i"}).collect():
+        before = [x["i"] for x in rows if x["k"] == r["k"] and x["i"] <= r["i"]]
+        assert (r["r"], r["s"], r["m"]) == (len(before), sum(before), max(before))
+
+
+def test_keys_hot_on_both_sides_meet(spark):
+    a = spark.range(60).select(F.when(F.col("id") < 50, "hot").when(F.col("id") < 55, "b").alias("k"), F.col("id").alias("x"))
+    b = spark.range(40).select(F.when(F.col("id") < 30, "hot").when(F.col("id") < 33, "b").alias("k"), F.col("id").alias("y"))
+    got = [tuple(r) for r in meet(a, b, "k", rows_per_portion=7).collect()]
+    assert len(got) == len(set(got)) == 50 * 30 + 5 * 3
 
 
 def test_lookup_of_a_hot_key(spark):

@@ -1,6 +1,7 @@
 import base64
 import posixpath
 import random
+import unicodedata
 from urllib.parse import unquote
 
 import pytest
@@ -51,6 +52,15 @@ def test_paths(spark):
     assert told(spark, N.tidy_path, ["a\\b\\c.txt", " a//b \n", "a%5Fb", "100%/x", "a%2Fb"]) == ["a/b/c.txt", "a/b", "a_b", "100%/x", "a/b"]
 
 
+def test_composed_letters(spark):
+    random.seed(4)
+    letters = [chr(c) for c in (*range(0xC0, 0x180), 0x1EC7, 0x1EA5, 0x3AC, 0x439, 0x212B, 0x41, 0x7A)]
+    texts = ["".join(random.choice(letters) for _ in range(8)) for _ in range(60)]
+    mixed = [unicodedata.normalize(random.choice(["NFC", "NFD"]), t) for t in texts] + ["e\u0302\u0323", "\u0301a", "", None]
+    assert told(spark, N.composed, mixed) == [t if t is None else unicodedata.normalize("NFC", t) for t in mixed]
+    assert len(set(told(spark, N.tidy_path, ["d/d\u00e4cher.txt", "d//da\u0308cher.txt", "d/d%C3%A4cher.txt", "d/da%CC%88cher.txt"]))) == 1
+
+
 def test_label_paths(spark):
     assert told(spark, N.label_path_of, ["d/train/images/x.y.jpg", "images/a/images/b.png", "images/a.png", "d/pics/a.png"]) == ["d/train/labels/x.y.txt", "images/a/labels/b.txt", "labels/a.txt", "d/pics/a.txt"]
 
