@@ -58,8 +58,7 @@ c AS (
 SELECT DISTINCT record_id FROM c WHERE record_id IS NOT NULL AND c IN (SELECT c FROM c GROUP BY c HAVING count(DISTINCT split) > 1)
 """
 
-_P2 = rf"""
-WITH rows AS (SELECT {_digest('image_sha256')} AS d, unnest(records) AS r FROM audit),
+_GROUPS = rf"""rows AS (SELECT {_digest('image_sha256')} AS d, unnest(records) AS r FROM audit),
 rec AS (
   SELECT DISTINCT d, r.record_id AS record_id, r.old_split AS old_split, r.label_signature AS sig, coalesce(v.trust, 0) AS trust, coalesce(r.reviewed_at, TIMESTAMP '0001-01-01') AS seen
   FROM rows LEFT JOIN (SELECT reviewer, max(trust) AS trust FROM reviewers GROUP BY reviewer) v ON v.reviewer = r.reviewer WHERE d IS NOT NULL AND r.record_id IS NOT NULL
@@ -71,12 +70,34 @@ whole AS (
   SELECT coalesce(w.d, rec.d) AS d, record_id, trust, seen, {split_sql('old_split')} IS NOT NULL AS split_ok,
          sig IS NOT NULL AND len(list_filter(regexp_split_to_array(sig, '\r\n|\n|\r'), lambda l: regexp_replace(l, '\s', '', 'g') <> '' AND NOT regexp_full_match(l, '\s*[^\s]+(\s+[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?){{4}}\s*'))) = 0 AS sig_ok
   FROM rec LEFT JOIN whole w ON w.cut = rec.d
-), big AS (SELECT d, min(record_id) AS first_record_id FROM g GROUP BY d HAVING count(*) > 1),
+), big AS (SELECT d, min(record_id) AS first_record_id FROM g GROUP BY d HAVING count(*) > 1)"""
+
+_P2 = f"""
+WITH {_GROUPS},
 f AS (SELECT b.first_record_id, 'label_signature' AS field_name, g.* FROM g JOIN big b USING (d) WHERE sig_ok UNION ALL SELECT b.first_record_id, 'old_split', g.* FROM g JOIN big b USING (d) WHERE split_ok)
 SELECT first_record_id, field_name, record_id FROM f WHERE NOT EXISTS (
   SELECT 1 FROM f o WHERE o.first_record_id = f.first_record_id AND o.field_name = f.field_name AND o.record_id <> f.record_id AND NOT (f.trust >= o.trust AND f.seen >= o.seen AND (f.trust > o.trust OR f.seen > o.seen)))
 """
 
+_P2_FILLED = f"""
+WITH RECURSIVE {_GROUPS},
+m AS (SELECT b.first_record_id AS f, record_id, trust, seen, sig_ok, split_ok, CAST(sig_ok AS INT) + CAST(split_ok AS INT) AS c FROM g JOIN big b USING (d)),
+p AS (SELECT DISTINCT f, c, trust, seen FROM m),
+depth(f, c, trust, seen, layer) AS (
+  SELECT f, c, trust, seen, 1 FROM p
+  UNION
+  SELECT p.f, p.c, p.trust, p.seen, q.layer + 1 FROM depth q JOIN p ON p.f = q.f AND q.c >= p.c AND q.trust >= p.trust AND q.seen >= p.seen AND (q.c > p.c OR q.trust > p.trust OR q.seen > p.seen)
+), layers AS (SELECT f, c, trust, seen, max(layer) AS layer FROM depth GROUP BY ALL),
+told AS (SELECT m.*, layer FROM m JOIN layers l ON l.f = m.f AND l.c = m.c AND l.trust = m.trust AND l.seen = m.seen),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY sig_ok DESC, layer, trust DESC, c DESC, seen DESC, record_id) AS by_sig, row_number() OVER (PARTITION BY f ORDER BY split_ok DESC, layer, trust DESC, c DESC, seen DESC, record_id) AS by_split FROM told
+)
+SELECT f AS first_record_id, count(*) AS n_records,
+  max(record_id) FILTER (by_sig = 1 AND sig_ok) AS label_signature_from, max(layer) FILTER (by_sig = 1 AND sig_ok) AS label_signature_layer,
+  max(record_id) FILTER (by_split = 1 AND split_ok) AS old_split_from, max(layer) FILTER (by_split = 1 AND split_ok) AS old_split_layer
+FROM ranked GROUP BY f
+"""
+
 _P4 = f"""
 WITH once AS (SELECT record_id, max(old_split) AS old_split, max(width) AS width, max(height) AS height FROM image_records WHERE record_id IS NOT NULL GROUP BY record_id),
 flat AS (SELECT coalesce({split_sql('old_split')}, 'unassigned') AS old_split, 'width' AS measure_name, width AS v FROM once UNION ALL SELECT coalesce({split_sql('old_split')}, 'unassigned'), 'height', height FROM once),
@@ -101,9 +122,10 @@ _P5 = rf"""
 WITH rows AS (SELECT {_digest('image_sha256')} AS d, unnest(records) AS r FROM audit),
 rec AS (
   SELECT DISTINCT d, r.record_id AS record_id, {split_sql('r.old_split')} AS split, CASE WHEN regexp_full_match(r.thumb_sig, '[0-9a-fA-F]{{64}}') THEN lower(r.thumb_sig) END AS t, r.label_signature AS sig,
-         r.label_signature IS NOT NULL AND len(list_filter(regexp_split_to_array(r.label_signature, '
+         r.label_signature IS NOT NULL AND len(list_filter(regexp_split_to_array(r.label_signature, '
+|
 |
-|'), lambda l: regexp_replace(l, '\s', '', 'g') <> '' AND NOT regexp_full_match(l, '\s*[^\s]+(\s+[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?){{4}}\s*'))) = 0 AS ok
+'), lambda l: regexp_replace(l, '\s', '', 'g') <> '' AND NOT regexp_full_match(l, '\s*[^\s]+(\s+[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?){{4}}\s*'))) = 0 AS ok
   FROM rows WHERE r.record_id IS NOT NULL
 ), ds AS (SELECT DISTINCT d FROM rows WHERE d IS NOT NULL),
 whole AS (
@@ -119,4 +141,4 @@ near AS (
 SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM (SELECT * FROM agreed UNION ALL SELECT * FROM same)
 """
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p4_percentiles": _P4, "p5_found": _P5}
+SQL = {"p1_found": _P1, "p2_found": _P2, "p2_survivors": _P2_FILLED, "p4_percentiles": _P4, "p5_found": _P5}

@@ -12,17 +12,17 @@ each other. A field that no record of the group can fill is null. Empty tables g
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.labels import usable_signature
 from boxloom.functions.names import usable_split
 from boxloom.llm.audits import audit_records, with_whole_digest
-from boxloom.operators.ranking import lookup
+from boxloom.operators.ranking import lookup, ordered_rank
 from boxloom.runtime import settle
 
+#: Deepest layer of a class that nothing leads to.
+_NONE = -(1 << 30)
 #: The fields of the survivor, in the order of their bits in ``mask``.
 FIELDS = ("label_signature", "old_split")
 
@@ -73,38 +73,66 @@ def outstanding(group: DataFrame) -> DataFrame:
     return lone.select("first_record_id", "field_name", "record_id")
 
 
-def survivors(group: DataFrame) -> DataFrame:
+def _fold(points: Column, start: Column, levels: int) -> Column:
+    """The layers that ``points`` (from late to early, equal times from better to worse) reach, given those before them.
+
+    The state holds the deepest layer per class so far and per field the best record yet. Whatever dominates a point
+    comes before it and is of a class no worse in both respects, so its layer is one more than the deepest of these.
+    """
+    pick = "struct<minus_layer:int,trust:int,complete:int,at:timestamp_ntz,minus_id:bigint>"
+
+    def take(state: Column, p: Column) -> Column:
+        above = F.transform(state["deep"], lambda d, i: F.when((F.floor(i / levels) >= F.floor(p["k"] / levels)) & (i % levels >= p["k"] % levels), d).otherwise(_NONE))
+        layer = F.get(F.transform(F.array(F.array_max(above)), lambda m: F.when(m < 0, _NONE).otherwise(m + 1)), F.lit(0))
+
+        def put(at: Column) -> Column:
+            deep = F.transform(state["deep"], lambda d, i: F.when(i == p["k"], F.greatest(d, at)).otherwise(d))
+            offer = lambda old, i: F.greatest(old, F.when(F.get(p["ids"], i).isNotNull(), F.struct((-at).alias("minus_layer"), p["trust"].alias("trust"), F.floor(p["k"] / levels).cast("int").alias("complete"), p["at"].alias("at"), (-F.get(p["ids"], i)).alias("minus_id"))))
+            return F.struct(deep.alias("deep"), F.transform(state["picks"], offer).alias("picks"))
+
+        return F.get(F.transform(F.array(layer), put), F.lit(0))
+
+    none = F.array(*[F.lit(None).cast(pick) for _ in FIELDS])
+    return F.aggregate(points, F.struct(start.alias("deep"), none.alias("picks")), take)
+
+
+def survivors(group: DataFrame, most_points: int = 20_000) -> DataFrame:
     """One row per group: ``first_record_id, n_records`` and for each field ``<field>_from`` (a record) and ``<field>_layer``.
 
-    Layers are peeled off all groups at once; a group leaves as soon as all fields that it can fill are filled.
+    The layer of a record is the length of the longest chain of records that dominate one another down to it. Chains
+    run from late to early, so one pass along time finds all layers, keeping only the deepest layer per class of equal
+    completeness and trust. A group with more than ``most_points`` distinct points is cut into stretches of time; each
+    stretch is told as a table of how much deeper it makes a chain on the way from one class to another, such tables add
+    up along the group, and then every stretch is passed with what the later ones leave. The number of jobs is fixed.
     """
-    key = ["first_record_id"]
-    group = settle(group.select("first_record_id", "record_id", "mask", "trust", "at"))
-    facts = settle(group.groupBy(*key).agg(F.count(F.lit(1)).alias("n_records"), F.bit_or("mask").alias("can")))
-    open_ = facts.filter("can > 0").select("first_record_id", F.col("can").alias("todo"))
-    left, layer, found = lookup(group.filter("mask > 0"), open_, "first_record_id", "inner"), 0, []
-    policy = F.struct("trust", F.bit_count("mask").alias("c"), "at", (-F.col("record_id")).alias("i"))
-    # records that lack every field still stand in the way of others only by trust and time, and never as more complete
-    left = left.unionByName(lookup(group.filter("mask = 0"), open_, "first_record_id", "inner"))
-    left = settle(left)
-    while not left.isEmpty():
-        layer += 1
-        front = settle(skyline(left, key))
-        todo = left.select("first_record_id", "todo").distinct()
-        takes = []
-        for i, name in enumerate(FIELDS):
-            has = front.filter(F.col("mask").bitwiseAND(1 << i) > 0).join(todo.filter(F.col("todo").bitwiseAND(1 << i) > 0), "first_record_id")
-            takes.append(has.groupBy(*key).agg(F.max_by("record_id", policy).alias("record_id")).select("first_record_id", F.lit(name).alias("field_name"), "record_id", F.lit(1 << i).alias("bit"), F.lit(layer).alias("layer")))
-        got = settle(reduce(DataFrame.unionByName, takes))
-        found.append(got)
-        filled = got.groupBy(*key).agg(F.sum("bit").cast("int").alias("bits"))
-        gone = front.select("first_record_id", "mask", "trust", "at")
-        nxt = left.join(gone, ["first_record_id", "mask", "trust", "at"], "left_anti").join(filled, "first_record_id", "left")
-        nxt = nxt.withColumn("todo", F.col("todo").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0))))).drop("bits").filter("todo > 0")
-        left = settle(nxt)
-    wide = facts.select("first_record_id", "n_records")
-    if not found:
-        return wide.select("*", *[F.lit(None).cast(t).alias(f"{n}_{x}") for n in FIELDS for x, t in (("from", "bigint"), ("layer", "int"))])
-    every = reduce(DataFrame.unionByName, found)
-    cells = [F.max(F.when(F.col("field_name") == n, F.col(c))).alias(f"{n}_{x}") for n in FIELDS for x, c in (("from", "record_id"), ("layer", "layer"))]
-    return wide.join(every.groupBy(*key).agg(*cells), "first_record_id", "left")
+    key = "first_record_id"
+    ids = F.array(*[F.min(F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.col("record_id"))) for i in range(len(FIELDS))])
+    points = settle(group.groupBy(key, F.bit_count("mask").alias("c"), "trust", "at").agg(ids.alias("ids"), F.count(F.lit(1)).alias("n")))
+    # trust levels come from the small table of reviewers
+    trusts = sorted(r["trust"] for r in points.select("trust").distinct().collect()) or [0]
+    classes = (len(FIELDS) + 1) * len(trusts)
+    level = F.array_position(F.array(*[F.lit(t) for t in trusts]), F.col("trust")) - 1
+    points = points.withColumn("k", (F.col("c") * len(trusts) + level).cast("int")).drop("c")
+    facts = points.groupBy(key).agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("points"))
+    hot = settle(facts.filter(F.col("points") > most_points).select(key))
+    point = F.struct("at", "k", "trust", "ids")
+    line = F.sort_array(F.collect_list(point), asc=False).alias("line")
+    zeros = F.array_repeat(F.lit(0), classes)
+    cold = points.join(hot, key, "left_anti").groupBy(key).agg(line).select(key, _fold(F.col("line"), zeros, len(trusts))["picks"].alias("picks"))
+    ranked = ordered_rank(lookup(points, hot, key, "inner"), [key], [F.desc("at"), F.desc("k"), F.desc("trust")], "_rank")
+    pieces = settle(ranked.groupBy(key, F.floor(F.col("_rank") / most_points).alias("piece")).agg(line))
+    only = lambda j: F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.when(i == j, 0).otherwise(_NONE))
+    deeper = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda j: _fold(F.col("line"), only(j), len(trusts))["deep"])
+    along = pieces.select(key, F.struct("piece", deeper.alias("deeper")).alias("m")).groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+
+    def on(state: Column, m: Column) -> Column:
+        reach = lambda c: F.array_max(F.zip_with(state["deep"], m["deeper"], lambda d, row: d + F.get(row, c)))
+        after = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.greatest(reach(c), F.get(state["deep"], c)))
+        return F.struct(after.alias("deep"), F.concat(state["starts"], F.array(F.struct(m["piece"].alias("piece"), state["deep"].alias("start")))).alias("starts"))
+
+    begin = F.struct(zeros.alias("deep"), F.array().cast("array<struct<piece:bigint,start:array<int>>>").alias("starts"))
+    starts = along.select(key, F.explode(F.aggregate("ms", begin, on)["starts"]).alias("s")).select(key, "s.*")
+    warm = pieces.join(starts, [key, "piece"]).select(key, _fold(F.col("line"), F.col("start"), len(trusts))["picks"].alias("picks"))
+    best = cold.unionByName(warm).groupBy(key).agg(*[F.max(F.get("picks", F.lit(i))).alias(f"p{i}") for i in range(len(FIELDS))])
+    cells = [c for i, n in enumerate(FIELDS) for c in ((-F.col(f"p{i}.minus_id")).alias(f"{n}_from"), (-F.col(f"p{i}.minus_layer")).alias(f"{n}_layer"))]
+    return facts.select(key, "n_records").join(best, key).select(key, "n_records", *cells)

@@ -69,18 +69,18 @@ def brute_layers(points):
     return got
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_survivors_equal_peeling(spark, seed):
+@pytest.mark.parametrize("seed,most", [(0, 20_000), (1, 20_000), (2, 3), (3, 2)])
+def test_survivors_equal_peeling(spark, seed, most):
     random.seed(seed)
     rows, want = [], {}
     for g in range(12):
-        n = random.randint(2, 9)
+        n = random.randint(2, 30 if g == 0 else 9)
         only = random.choice([3, 1, 2, 0])
         points = [(g * 100 + k, random.randint(0, 3) & only, random.randint(0, 3), random.randint(0, 4)) for k in range(n)]
         name = {3: "a", 2: "b", 1: "c", 0: None}
         rows.append((f"{g:064x}", [rec(i, "test" if m & 2 else "?", "" if m & 1 else "bad", name[t], d) for i, m, t, d in points]))
         want[g * 100] = brute_layers(points)
-    got = survivors.survivors(survivors.copies(audit(spark, rows), trusts(spark))).collect()
+    got = survivors.survivors(survivors.copies(audit(spark, rows), trusts(spark)), most).collect()
     assert len(got) == 12
     for r in got:
         w = want[r["first_record_id"]]
@@ -94,3 +94,23 @@ def test_hot_group(spark):
     best = max((t, d, -i) for _, rs in rows for i, _, _, _, _, _, _, v, at in rs for t, d in [({"a": 3, "b": 2, "c": 1}[v], at)])
     r = survivors.survivors(survivors.copies(audit(spark, rows), trusts(spark))).collect()
     assert len(r) == 1 and r[0]["n_records"] == 2000 and r[0]["old_split_from"] == -best[2]
+    # the only split sits below a long chain of later records
+    chain = [(H, [rec(i, "test" if i == 0 else "?", "" if i else "bad", "a", i) for i in range(k * 100, k * 100 + 100)]) for k in range(30)]
+
+    def jobs(rows):
+        group = survivors.copies(audit(spark, rows), trusts(spark))
+        spark.sparkContext.setJobGroup(f"chain{len(rows)}", "")
+        out = survivors.survivors(group, 500).collect()
+        spark.sparkContext.setJobGroup("", "")
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{len(rows)}"))
+
+    (deep,), many = jobs(chain)
+    assert (deep["old_split_from"], deep["old_split_layer"]) == (0, 3000) and (deep["label_signature_from"], deep["label_signature_layer"]) == (2999, 1)
+    (short,), few = jobs(chain[:6])
+    assert short["old_split_layer"] == 600 and many <= few + 2
+    (flat,), fewest = jobs([(H, [rec(i, "test" if i == 0 else "?", "" if i else "bad", "a", i) for i in range(4)])])
+    assert flat["old_split_layer"] == 4 and fewest <= few
+
+
+def test_survivors_of_nothing(spark):
+    assert survivors.survivors(survivors.copies(audit(spark, []), trusts(spark, []))).count() == 0
