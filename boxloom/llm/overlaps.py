@@ -6,9 +6,11 @@ the dot product of two vectors is the share of cells in equal blocks, and the ex
 decides in the end: 56 of 64 cells or more.
 
 Pruning loses nothing. Two images that differ in at most 8 cells spoil at most 8 blocks, so at least 4 blocks of 5
-cells agree and the dot product is 20/64 or more. Each vector lists its terms from rare to frequent (one order for
-all) and indexes them until what is left has a squared norm, and so a greatest possible product, below 20/64; a
-qualifying pair then meets in an indexed term of both. That leaves 9 of 12 terms and drops the most frequent ones.
+cells agree and the dot product is 20/64 or more. A term that no vector of the other side has weighs 0 there, so it is
+left out, and vectors that can't reach 20/64 with the terms left go. The others list their terms from rare to frequent
+(one order for all) and index them until what is left has a squared norm, and so a greatest possible product, below
+20/64; the rarest term that a qualifying pair shares is then indexed by both. A list that is long on both sides is
+split by the next shared term in the same way, with what the first one leaves to be reached.
 A term also carries what the labels tell: boxes that pair off within 0.01 have equal counts and mean centres within
 0.01, so lists are split by the count and a grid of mean centres; a look-up tries every cell that it can touch.
 
@@ -20,6 +22,7 @@ share one vector and are joined as one. Records without a usable split take no p
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,7 @@ from pyspark.sql.types import BooleanType
 from boxloom.functions.labels import boxes_of
 from boxloom.functions.names import source_name, usable_split
 from boxloom.llm.audits import audit_records, with_whole_digest
+from boxloom.operators.ranking import meet
 from boxloom.runtime import settle
 
 CELLS = 64
@@ -38,8 +42,10 @@ _SLACK = 1e-9
 #: Cells per block; a pair that qualifies shares at least len(BLOCKS) - MOST_DIFFERENT of them.
 BLOCKS = (6, 5, 5, 6, 5, 5, 6, 5, 5, 6, 5, 5)
 LEAST_DOT = sum(sorted(BLOCKS)[: len(BLOCKS) - MOST_DIFFERENT])
-#: Term frequencies are kept in a sketch of so many counters, whatever the number of terms.
+#: Term frequencies per side are kept in a sketch of so many counters, whatever the number of terms.
 SKETCH = 1 << 12
+#: Counters of the sketch that tells long lists.
+LISTS = 1 << 18
 GRID = 0.1
 
 
@@ -93,28 +99,39 @@ def _terms() -> Column:
     return F.array(*out)
 
 
-def _indexed(vecs: DataFrame) -> DataFrame:
-    """``vecs`` with ``index``: the terms that the residual norm does not let it drop, rare ones first.
+def _prefix(terms: Column, need: Column) -> Column:
+    """How many of the leading ``terms`` (``df, term, cells``, rare ones first) are needed: as long as the cells from one on reach ``need``."""
+    whole = F.aggregate(terms, F.lit(0), lambda n, t: n + t["cells"])
+    kept = F.aggregate(
+        terms,
+        F.struct(whole.alias("left"), F.lit(0).alias("n")),
+        lambda a, t: F.when(a["left"] >= need, F.struct((a["left"] - t["cells"]).alias("left"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(-1).alias("left"), a["n"].alias("n"))),
+    )
+    return F.slice(terms, F.lit(1), kept["n"])
+
 
-    Frequencies come from a sketch of a fixed number of counters, so what the driver holds and sends back does not
-    grow. Any order of terms is right; a better one only makes shorter lists.
+def _weighed(vecs: DataFrame) -> DataFrame:
+    """``vecs`` with ``terms``: those that vectors of the other side may share, rare ones first.
+
+    The greatest weight that a term has on the other side is 0 if no vector there has it; then it can add nothing to a
+    dot product and is left out, and a vector whose other terms can't reach the least dot product is left out with all
+    of them. Counts per side come from a sketch of a fixed number of counters, so what the driver holds and sends back
+    does not grow; a counter shared by several terms can only keep more.
     """
     with_terms = vecs.withColumn("terms", _terms())
-    slot = F.pmod("term", F.lit(SKETCH)).cast("int")
-    counted = with_terms.select(F.explode("terms.term").alias("term")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = [0] * SKETCH
+    slot = lambda t: F.pmod(t, F.lit(SKETCH)).cast("int")
+    each = with_terms.select("in_train", "in_eval", F.explode("terms.term").alias("term"))
+    counted = each.groupBy(slot(F.col("term")).alias("slot")).agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e")).collect()
+    train, held = [0] * SKETCH, [0] * SKETCH
     for r in counted:
-        counts[r["slot"]] = r["n"]
-    sketch = F.from_json(F.lit(json.dumps(counts)), "array<bigint>")
-    ranked = F.array_sort(F.transform("terms", lambda t: F.struct(F.get(sketch, F.pmod(t["term"], F.lit(SKETCH)).cast("int")).alias("df"), t["term"].alias("term"), t["cells"].alias("cells"))))
-    # keep terms while the cells from here on could still make the least dot product
-    total = sum(BLOCKS)
-    kept = F.aggregate(
-        ranked,
-        F.struct(F.lit(total).alias("left"), F.array().cast("array<bigint>").alias("terms")),
-        lambda a, t: F.when(a["left"] >= LEAST_DOT, F.struct((a["left"] - t["cells"]).alias("left"), F.concat(a["terms"], F.array(t["term"])).alias("terms"))).otherwise(a),
-    )
-    return with_terms.withColumn("index", kept["terms"]).drop("terms")
+        train[r["slot"]], held[r["slot"]] = r["t"], r["e"]
+    sketch = lambda counts: F.from_json(F.lit(json.dumps(counts)), "array<bigint>")
+    of_train, of_held = sketch(train), sketch(held)
+    known = F.transform("terms", lambda t: F.struct(F.get(of_train, slot(t["term"])).alias("t"), F.get(of_held, slot(t["term"])).alias("e"), t["term"].alias("term"), t["cells"].alias("cells")))
+    met = F.filter(known, lambda t: (F.col("in_train") & (t["e"] > 0)) | (F.col("in_eval") & (t["t"] > 0)))
+    ranked = F.array_sort(F.transform(met, lambda t: F.struct((t["t"] + t["e"]).alias("df"), t["term"].alias("term"), t["cells"].alias("cells"))))
+    reach = F.aggregate("terms", F.lit(0), lambda n, t: n + t["cells"])
+    return with_terms.withColumn("terms", ranked).filter(reach >= LEAST_DOT)
 
 
 def _grid_cells(mean: Column, reach: float) -> Column:
@@ -158,26 +175,81 @@ def _pairs_off(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([pair_off(list(x), list(y)) for x, y in zip(a, b)], dtype="bool")
 
 
+def _alike(p: Column, q: Column) -> Column:
+    return reduce(lambda a, b: a & b, [F.abs(p[k] - q[k]) <= TOLERANCE + _SLACK for k in ("x", "y", "w", "h")])
+
+
+def boxes_agree(pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ``boxes_a`` and ``boxes_b`` (sorted) pair off one to one.
+
+    Boxes that agree in their sorted order do, and lists in which some box has no counterpart don't; only what is left,
+    crowded images as a rule, takes the search for a pairing in the workers.
+    """
+    in_order = F.forall(F.zip_with("boxes_a", "boxes_b", lambda p, q: F.coalesce(_alike(p, q), F.lit(False))), lambda x: x)
+    met = lambda a, b: F.forall(a, lambda p: F.exists(b, lambda q: _alike(p, q)))
+    same = F.size("boxes_a") == F.size("boxes_b")
+    told = F.when(~same, 0).when(in_order, 1).when(F.size("boxes_a") < 2, 0).when(met("boxes_a", "boxes_b") & met("boxes_b", "boxes_a"), 2).otherwise(0)
+    marked = settle(pairs.withColumn("_told", told).filter("_told > 0"))
+    agrees = F.pandas_udf(_pairs_off, BooleanType())
+    return marked.filter("_told = 1").unionByName(marked.filter("_told = 2").filter(agrees("boxes_a", "boxes_b"))).drop("_told", "boxes_a", "boxes_b")
+
+
+def _long_lists(lists: DataFrame, long_list: int) -> DataFrame:
+    """``slot`` of lists with many vectors of both sides, by a sketch of ``LISTS`` counters in which most hold usual lists."""
+    loads = settle(lists.groupBy(_list_slot().alias("slot")).agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e")))
+    usual = loads.agg(F.percentile_approx("t", F.lit(0.5)).alias("t"), F.percentile_approx("e", F.lit(0.5)).alias("e")).first()
+    return loads.filter((F.col("t") > 2 * (usual["t"] or 0) + long_list) & (F.col("e") > 2 * (usual["e"] or 0) + long_list)).select("slot")
+
+
+def _list_slot() -> Column:
+    return F.pmod("list", F.lit(LISTS)).cast("int")
+
+
+def candidates(ready: DataFrame, long_list: int = 1000) -> DataFrame:
+    """``vid_train, vid_eval``: vectors that meet in a list.
+
+    A list holds the vectors with one term, count of boxes and cell of the grid of mean centres. Where many vectors of
+    both sides have a term, its list is split by the next shared term: of the terms after it so many are taken that the
+    rest can't make up the least dot product, and so on until the terms of a list alone reach it. Only then a long list
+    is met portion by portion.
+    """
+    reach = TOLERANCE + 1e-6
+    place = lambda c: F.floor(F.col(c) / GRID)
+    begin = ["vid", F.lit(LEAST_DOT).alias("need"), F.lit(0).alias("used"), "terms", F.xxhash64("boxes_n", "gx", "gy").alias("list")]
+    train = ready.filter("in_train").withColumn("gx", place("mx")).withColumn("gy", place("my")).select(F.lit(True).alias("train"), *begin)
+    held = ready.filter("in_eval").withColumn("gx", F.explode(_grid_cells(F.col("mx"), reach))).withColumn("gy", F.explode(_grid_cells(F.col("my"), reach))).select(F.lit(False).alias("train"), *begin)
+    side = lambda df, train, name: df.filter(F.col("train") == train).select("list", F.col("vid").alias(name))
+    todo, found = train.unionByName(held), []
+    while True:
+        rest = F.slice("terms", F.col("used") + 1, F.greatest(F.size("terms") - F.col("used"), F.lit(0)))
+        split = todo.select("train", "vid", "need", "used", "list", F.posexplode(_prefix(rest, F.col("need"))).alias("i", "t"))
+        lists = settle(split.select("train", "vid", (F.col("need") - F.col("t.cells")).alias("need"), (F.col("used") + F.col("i") + 1).alias("used"), F.xxhash64("list", "t.term").alias("list")))
+        long_ = settle(_long_lists(lists, long_list))
+        if long_.isEmpty():
+            found.append(side(lists, True, "vid_train").join(side(lists, False, "vid_eval"), "list").select("vid_train", "vid_eval"))
+            break
+        # at most one counter in so many as a long list has vectors
+        is_long = _list_slot() == F.col("slot")
+        short, hot = lists.join(F.broadcast(long_), is_long, "left_anti"), lists.join(F.broadcast(long_), is_long, "left_semi")
+        found.append(side(short, True, "vid_train").join(side(short, False, "vid_eval"), "list").select("vid_train", "vid_eval"))
+        # lists whose terms alone reach the least dot product can't be split any further, so there are four rounds at most
+        whole = hot.filter("need <= 0")
+        found.append(meet(side(whole, True, "vid_train"), side(whole, False, "vid_eval"), "list", 10_000).select("vid_train", "vid_eval"))
+        todo = hot.filter("need > 0").join(ready.select("vid", "terms"), "vid")
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def near_vectors(vecs: DataFrame) -> DataFrame:
     """``vid_train, vid_eval, dot``: pairs of vectors across splits that qualify, exactly verified."""
     n = F.size("boxes")
     mean = lambda c: F.coalesce(F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b[c]) / F.nullif(n, F.lit(0)), F.lit(0.0))
-    ready = settle(_indexed(vecs).select("vid", "in_train", "in_eval", "index", *_halves(), "boxes", n.alias("boxes_n"), mean("x").alias("mx"), mean("y").alias("my")))
-    reach = TOLERANCE + 1e-6
-    key = F.xxhash64("term", "boxes_n", "gx", "gy").alias("list")
-    train = ready.filter("in_train").select("vid", "boxes_n", F.floor(F.col("mx") / GRID).alias("gx"), F.floor(F.col("my") / GRID).alias("gy"), F.explode("index").alias("term"))
-    train = train.select(F.col("vid").alias("vid_train"), key)
-    held = ready.filter("in_eval").select("vid", "boxes_n", F.explode(_grid_cells(F.col("mx"), reach)).alias("gx"), "my", "index")
-    held = held.select("vid", "boxes_n", "gx", F.explode(_grid_cells(F.col("my"), reach)).alias("gy"), "index").select("vid", "boxes_n", "gx", "gy", F.explode("index").alias("term"))
-    held = held.select(F.col("vid").alias("vid_eval"), key)
-    candidates = train.join(held, "list").select("vid_train", "vid_eval").distinct()
+    ready = settle(_weighed(vecs).select("vid", "in_train", "in_eval", "terms", *_halves(), "boxes", n.alias("boxes_n"), mean("x").alias("mx"), mean("y").alias("my")))
     load = ready.select("vid", "q0", "q1", "q2", "q3", "boxes")
     left = load.select(F.col("vid").alias("vid_train"), F.struct("q0", "q1", "q2", "q3").alias("a"), F.col("boxes").alias("boxes_a"))
     right = load.select(F.col("vid").alias("vid_eval"), F.struct("q0", "q1", "q2", "q3").alias("b"), F.col("boxes").alias("boxes_b"))
-    close = candidates.join(left, "vid_train").join(right, "vid_eval").withColumn("dot", (F.lit(CELLS) - different_cells("a", "b")) / CELLS)
-    close = close.filter(F.col("dot") >= (CELLS - MOST_DIFFERENT) / CELLS)
-    agrees = F.pandas_udf(_pairs_off, BooleanType())
-    return settle(close.filter(agrees("boxes_a", "boxes_b")).select("vid_train", "vid_eval", "dot"))
+    close = candidates(ready).join(left, "vid_train").join(right, "vid_eval").withColumn("dot", (F.lit(CELLS) - different_cells("a", "b")) / CELLS)
+    close = close.filter(F.col("dot") >= (CELLS - MOST_DIFFERENT) / CELLS).select("vid_train", "vid_eval", "dot", "boxes_a", "boxes_b")
+    return settle(boxes_agree(close))
 
 
 def overlap_pairs(audit: DataFrame) -> DataFrame:
@@ -186,9 +258,10 @@ def overlap_pairs(audit: DataFrame) -> DataFrame:
     vecs, members = vectors(records)
     close = near_vectors(vecs)
     at = records.select("record_id", "digest", (F.col("split") == "train").alias("is_train")).filter("digest is not null")
-    same = at.filter("is_train").select("digest", F.col("record_id").alias("t")).join(at.filter("not is_train").select("digest", F.col("record_id").alias("e")), "digest").select("t", "e")
-    near = close.join(members.filter("split = 'train'").select(F.col("vid").alias("vid_train"), F.col("record_id").alias("t")), "vid_train")
-    near = near.join(members.filter("split <> 'train'").select(F.col("vid").alias("vid_eval"), F.col("record_id").alias("e")), "vid_eval").select("t", "e")
+    # copies of one file or one vector may be many on both sides
+    same = meet(at.filter("is_train").select("digest", F.col("record_id").alias("t")), at.filter("not is_train").select("digest", F.col("record_id").alias("e")), "digest").select("t", "e")
+    near = meet(close, members.filter("split = 'train'").select(F.col("vid").alias("vid_train"), F.col("record_id").alias("t")), "vid_train")
+    near = meet(near, members.filter("split <> 'train'").select(F.col("vid").alias("vid_eval"), F.col("record_id").alias("e")), "vid_eval").select("t", "e")
     return same.unionByName(near).distinct().select(F.least("t", "e").alias("record_id_a"), F.greatest("t", "e").alias("record_id_b"))
 
 

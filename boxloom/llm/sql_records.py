@@ -128,8 +128,7 @@ def _pairings(n: int) -> str:
 _NUMBERS = r"list_transform(list_filter(regexp_split_to_array(sig, '\r\n|\n|\r'), lambda l: trim(regexp_replace(l, '\s', ' ', 'g')) <> ''), lambda l: list_transform(string_split(trim(regexp_replace(l, '\s+', ' ', 'g')), ' ')[2:], lambda v: CAST(v AS DOUBLE)))"
 
 # Box lists have at most five entries here; a longer one would have no pairing in this form.
-_P5 = rf"""
-WITH rows AS (SELECT {_digest('image_sha256')} AS d, unnest(records) AS r FROM audit),
+_PAIRED = rf"""rows AS (SELECT {_digest('image_sha256')} AS d, unnest(records) AS r FROM audit),
 rec AS (
   SELECT DISTINCT d, r.record_id AS record_id, {split_sql('r.old_split')} AS split, CASE WHEN regexp_full_match(r.thumb_sig, '[0-9a-fA-F]{{64}}') THEN lower(r.thumb_sig) END AS t, r.label_signature AS sig,
          r.label_signature IS NOT NULL AND len(list_filter(regexp_split_to_array(r.label_signature, '
@@ -147,10 +146,14 @@ near AS (
   SELECT a.record_id AS x, e.record_id AS y, a.bx AS p, e.bx AS q, len(a.bx) AS n FROM b a JOIN b e ON a.split = 'train' AND e.split <> 'train' AND len(a.bx) = len(e.bx) AND hamming(a.t, e.t) <= 8
 ), agreed AS (
   SELECT x, y FROM near WHERE n = 0 OR len(list_filter({_pairings(5)}, lambda o: len(list_filter(range(1, n + 1), lambda i: abs(p[i][1] - q[o[i]][1]) > 0.01 + 1e-9 OR abs(p[i][2] - q[o[i]][2]) > 0.01 + 1e-9 OR abs(p[i][3] - q[o[i]][3]) > 0.01 + 1e-9 OR abs(p[i][4] - q[o[i]][4]) > 0.01 + 1e-9)) = 0)) > 0
-), same AS (SELECT a.record_id AS x, e.record_id AS y FROM m a JOIN m e ON a.d = e.d AND a.split = 'train' AND e.split <> 'train')
-SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM (SELECT * FROM agreed UNION ALL SELECT * FROM same)
+), same AS (SELECT a.record_id AS x, e.record_id AS y FROM m a JOIN m e ON a.d = e.d AND a.split = 'train' AND e.split <> 'train')"""
+_P5 = f"WITH {_PAIRED} SELECT DISTINCT least(x, y) AS record_id_a, greatest(x, y) AS record_id_b FROM (SELECT * FROM agreed UNION ALL SELECT * FROM same)"
+_P5_REPORT = f"""
+WITH {_PAIRED},
+src AS (SELECT DISTINCT r.record_id AS record_id, {_source('r.source_id')} AS source FROM rows)
+SELECT split, source, count(*) AS records, count_if(record_id IN (SELECT y FROM agreed) OR record_id IN (SELECT y FROM same)) AS overlapping, count_if(record_id IN (SELECT y FROM same)) AS same_file, count_if(record_id IN (SELECT y FROM agreed)) AS near
+FROM m JOIN src USING (record_id) WHERE split <> 'train' GROUP BY split, source
 """
-
 _P4_CHECKS = f"SELECT old_split, measure_name, pct, n, true AS within FROM ({_P4})"
 
-SQL = {"p1_found": _P1, "p1_forest": _P1_FOREST, "p1_checks": _P1_CHECKS, "p2_found": _P2, "p2_survivors": _P2_FILLED, "p4_percentiles": _P4, "p4_merged": _P4, "p4_checks": _P4_CHECKS, "p5_found": _P5}
+SQL = {"p1_found": _P1, "p1_forest": _P1_FOREST, "p1_checks": _P1_CHECKS, "p2_found": _P2, "p2_survivors": _P2_FILLED, "p4_percentiles": _P4, "p4_merged": _P4, "p4_checks": _P4_CHECKS, "p5_found": _P5, "p5_report": _P5_REPORT}

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from boxloom.llm import overlaps
 from tests.llm.test_survivors import audit, rec
@@ -78,11 +79,49 @@ def test_pairing_needs_a_search():
         assert ask(x, y) == want
 
 
+def ready_of(spark, rows):
+    vecs, _ = overlaps.vectors(overlaps.split_records(audit(spark, rows)))
+    n = F.size("boxes")
+    return overlaps._weighed(vecs).select("vid", "in_train", "in_eval", "terms", n.alias("boxes_n"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"), *overlaps._halves())
+
+
 def test_bound_of_the_index():
     # nine of twelve terms are indexed, and what is left can't make the least product
     order = sorted(overlaps.BLOCKS)
     assert sum(overlaps.BLOCKS) == 64 and sum(order[-3:]) < overlaps.LEAST_DOT <= sum(order[:4])
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_long_lists_are_split_and_lose_nothing(spark, seed):
+    # images without boxes whose upper halves are plain: any two share a few blocks, hardly any qualify
+    random.seed(seed)
+    base = ["".join(random.choice("ab") * n for n in overlaps.BLOCKS[:6]) + "".join(random.choice("01234567") for _ in range(32)) for _ in range(60)]
+    rows = [(f"{i:064x}", [rec(i, random.choice(["train", "test"]), "", thumb=change(random.choice(base)[:64], random.choice([0, 3, 8])))]) for i in range(240)]
+    ready = ready_of(spark, rows).cache()
+    near = lambda df: {tuple(r) for r in df.collect()}
+    few, all_ = near(overlaps.candidates(ready, 5)), near(overlaps.candidates(ready, 10_000))
+    assert few < all_ and len(few) < 0.7 * len(all_)
+    cells = {r["record_id"]: r for r in overlaps.split_records(audit(spark, rows)).collect()}
+    want = {(a, b) for a in cells for b in cells if cells[a]["split"] == "train" and cells[b]["split"] == "test" and sum(x != y for x, y in zip(cells[a]["thumb"].hex(), cells[b]["thumb"].hex())) <= 8}
+    firsts = {}
+    for r in sorted(cells):
+        firsts.setdefault(bytes(cells[r]["thumb"]), r)
+    assert {(firsts[bytes(cells[a]["thumb"])], firsts[bytes(cells[b]["thumb"])]) for a, b in want} <= few
+
+
+def test_crowded_images_pair_off(spark):
+    random.seed(6)
+    box = lambda x: (x, 0.5, 0.1, 0.1)
+    rows, want = [], {}
+    for i in range(200):
+        n = random.randint(0, 4)
+        a, b = ([box(random.choice([0.0, 0.008, 0.016, 0.024])) for _ in range(n)] for _ in range(2))
+        rows.append((i, i, sorted(a), sorted(b)))
+        want[i] = overlaps.pair_off([dict(zip("xywh", p)) for p in a], [dict(zip("xywh", p)) for p in b])
+    kind = "array<struct<x:double,y:double,w:double,h:double>>"
+    got = {r[0] for r in overlaps.boxes_agree(spark.createDataFrame(rows, f"vid_train bigint, vid_eval bigint, boxes_a {kind}, boxes_b {kind}")).collect()}
+    assert got == {i for i, yes in want.items() if yes}
+
+
 def test_empty(spark):
     assert overlaps.overlap_pairs(audit(spark, [])).count() == 0 and overlaps.overlap_report(audit(spark, [])).count() == 0
