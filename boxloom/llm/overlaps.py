@@ -91,21 +91,30 @@ def vectors(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _terms() -> Column:
-    """All terms of a thumbnail as ``array<struct<block, hash>>``."""
+    """All terms of a thumbnail as ``array<bigint>``: a hash of block and content with the number of cells in its low bits."""
     out, at = [], 1
     for i, n in enumerate(BLOCKS):
-        out.append(F.struct(F.lit(n).alias("cells"), F.xxhash64(F.lit(i), F.substring("cells", at, n)).alias("term")))
+        out.append(_with_cells(F.xxhash64(F.lit(i), F.substring("cells", at, n)), F.lit(n)))
         at += n
     return F.array(*out)
 
 
+def _with_cells(hashed: Column, cells: Column) -> Column:
+    return F.shiftleft(hashed, 3).bitwiseOR((cells - min(BLOCKS)).cast("bigint"))
+
+
+def cells_of(term: Column) -> Column:
+    """How many cells the block of a term has."""
+    return (F.pmod(term, F.lit(8)) + min(BLOCKS)).cast("int")
+
+
 def _prefix(terms: Column, need: Column) -> Column:
-    """How many of the leading ``terms`` (``df, term, cells``, rare ones first) are needed: as long as the cells from one on reach ``need``."""
-    whole = F.aggregate(terms, F.lit(0), lambda n, t: n + t["cells"])
+    """The leading ``terms`` (rare ones first) that are needed: as long as the cells from one on reach ``need``."""
+    whole = F.aggregate(terms, F.lit(0), lambda n, t: n + cells_of(t))
     kept = F.aggregate(
         terms,
         F.struct(whole.alias("left"), F.lit(0).alias("n")),
-        lambda a, t: F.when(a["left"] >= need, F.struct((a["left"] - t["cells"]).alias("left"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(-1).alias("left"), a["n"].alias("n"))),
+        lambda a, t: F.when(a["left"] >= need, F.struct((a["left"] - cells_of(t)).alias("left"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(-1).alias("left"), a["n"].alias("n"))),
     )
     return F.slice(terms, F.lit(1), kept["n"])
 
@@ -120,17 +129,17 @@ def _weighed(vecs: DataFrame) -> DataFrame:
     """
     with_terms = vecs.withColumn("terms", _terms())
     slot = lambda t: F.pmod(t, F.lit(SKETCH)).cast("int")
-    each = with_terms.select("in_train", "in_eval", F.explode("terms.term").alias("term"))
+    each = with_terms.select("in_train", "in_eval", F.explode("terms").alias("term"))
     counted = each.groupBy(slot(F.col("term")).alias("slot")).agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e")).collect()
     train, held = [0] * SKETCH, [0] * SKETCH
     for r in counted:
         train[r["slot"]], held[r["slot"]] = r["t"], r["e"]
     sketch = lambda counts: F.from_json(F.lit(json.dumps(counts)), "array<bigint>")
     of_train, of_held = sketch(train), sketch(held)
-    known = F.transform("terms", lambda t: F.struct(F.get(of_train, slot(t["term"])).alias("t"), F.get(of_held, slot(t["term"])).alias("e"), t["term"].alias("term"), t["cells"].alias("cells")))
-    met = F.filter(known, lambda t: (F.col("in_train") & (t["e"] > 0)) | (F.col("in_eval") & (t["t"] > 0)))
-    ranked = F.array_sort(F.transform(met, lambda t: F.struct((t["t"] + t["e"]).alias("df"), t["term"].alias("term"), t["cells"].alias("cells"))))
-    reach = F.aggregate("terms", F.lit(0), lambda n, t: n + t["cells"])
+    known = F.transform("terms", lambda t: F.struct(F.get(of_train, slot(t)).alias("t"), F.get(of_held, slot(t)).alias("e"), t.alias("term")))
+    met = F.filter(known, lambda k: (F.col("in_train") & (k["e"] > 0)) | (F.col("in_eval") & (k["t"] > 0)))
+    ranked = F.transform(F.array_sort(F.transform(met, lambda k: F.struct((k["t"] + k["e"]).alias("df"), k["term"].alias("term")))), lambda k: k["term"])
+    reach = F.aggregate("terms", F.lit(0), lambda n, t: n + cells_of(t))
     return with_terms.withColumn("terms", ranked).filter(reach >= LEAST_DOT)
 
 
@@ -202,7 +211,7 @@ def _long_lists(lists: DataFrame, long_list: int) -> DataFrame:
 
 
 def _list_slot() -> Column:
-    return F.pmod("list", F.lit(LISTS)).cast("int")
+    return F.pmod(F.shiftright("list", 3), F.lit(LISTS)).cast("int")
 
 
 def candidates(ready: DataFrame, long_list: int = 1000) -> DataFrame:
@@ -222,8 +231,10 @@ def candidates(ready: DataFrame, long_list: int = 1000) -> DataFrame:
     todo, found = train.unionByName(held), []
     while True:
         rest = F.slice("terms", F.col("used") + 1, F.greatest(F.size("terms") - F.col("used"), F.lit(0)))
-        split = todo.select("train", "vid", "need", "used", "list", F.posexplode(_prefix(rest, F.col("need"))).alias("i", "t"))
-        lists = settle(split.select("train", "vid", (F.col("need") - F.col("t.cells")).alias("need"), (F.col("used") + F.col("i") + 1).alias("used"), F.xxhash64("list", "t.term").alias("list")))
+        keyed = F.transform(_prefix(rest, F.col("need")), lambda t: _with_cells(F.xxhash64("list", t), cells_of(t)))
+        kept = settle(todo.select("train", "vid", "need", "used", keyed.alias("lists")))
+        each = kept.select("train", "vid", "need", "used", F.posexplode("lists").alias("i", "list"))
+        lists = each.select("train", "vid", (F.col("need") - cells_of(F.col("list"))).alias("need"), (F.col("used") + F.col("i") + 1).alias("used"), "list")
         long_ = settle(_long_lists(lists, long_list))
         if long_.isEmpty():
             found.append(side(lists, True, "vid_train").join(side(lists, False, "vid_eval"), "list").select("vid_train", "vid_eval"))
