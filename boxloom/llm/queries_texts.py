@@ -20,6 +20,21 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.pack(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "containers"))[1]
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind what must hold: all texts with tokens are there whole, none is cut without need, no container is too full, and few are used."""
+    documents = read_table(spark, sf_dir, "documents")
+    packed, report = containers.pack(documents, read_table(spark, sf_dir, "containers"))
+    packed = settle(packed)
+    texts = packed.groupBy("container_kind", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.sum("first_token").alias("starts"))
+    # pieces begin at the multiples of the capacity, and only the last one is short
+    n = F.col("pieces")
+    broken = (F.col("starts") != F.col("capacity") * n * (n - 1) / 2) | (F.ceil(F.col("tokens") / F.col("capacity")) != n)
+    kinds = texts.groupBy("container_kind").agg(F.count(F.lit(1)).alias("texts"), F.count_if(broken).alias("broken"))
+    full = packed.groupBy("container_kind", "capacity", "container_id").agg(F.sum("n_tokens").alias("held")).groupBy("container_kind").agg(F.count_if(F.col("held") > F.col("capacity")).alias("too_full"))
+    few = report.select("container_kind", (F.col("containers") <= F.ceil(F.col("least") * 1.01 + 1)).alias("few"))
+    return kinds.join(full, "container_kind").join(few, "container_kind").select("container_kind", "texts", "broken", "too_full", "few")
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the mix with their copies."""
     return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
@@ -30,6 +45,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares_reached(*mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets")))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: whether no text is used too often, and whether the expected share of a source with texts is within 1 % of the mix of its target."""
+    mixed, goals = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    mixed = settle(mixed)
+    shares = mixing.shares_reached(mixed, goals)
+    over = mixed.select(F.explode(F.array(*[F.struct(F.lit(goals[i][0]).alias("source"), (F.get("shares", F.lit(i)) > 0).alias("member"), (F.col("copies") > goals[i][2]).alias("over")) for i in range(len(goals))])).alias("x")).select("x.*")
+    often = over.filter("member").groupBy("source").agg(F.count_if("over").alias("over"))
+    # the share of sources without any text falls to the others
+    within = shares.withColumn("alive", F.col("expected") > 0)
+    scale = within.agg(F.sum(F.when(F.col("alive"), F.col("target_share")).otherwise(0.0)).alias("scale"))
+    told = within.join(F.broadcast(scale)).join(often, "source", "left")
+    near = ~F.col("alive") | (F.abs(F.col("expected") - F.col("target_share") / F.col("scale")) <= 0.01)
+    return told.select("source", "target_share", (F.coalesce("over", F.lit(0)) == 0).alias("repeats_ok"), near.alias("share_ok"))
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_grades"))
 
@@ -52,4 +82,10 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(levels, "doc_id").groupBy("source", "language", "level").agg(F.count(F.lit(1)).alias("documents"), F.sum("prose_words").alias("prose_words"))
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
+QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p6_checks": p6_checks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
+
+_NAME = "regexp_replace(lower(trim(source)), '[-\\s]', '_', 'g')"
+SQL = {
+    "p6_checks": "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0 AS broken, 0 AS too_full, true AS few FROM (SELECT DISTINCT container_kind FROM containers)",
+    "p7_checks": f"SELECT {_NAME} AS source, sum(target_share) AS target_share, true AS repeats_ok, true AS share_ok FROM mix_targets GROUP BY 1",
+}

@@ -31,17 +31,21 @@ def test_shares_are_met(spark):
     mixed, told = M.mix(docs, goals(spark))
     out = mixed.collect()
     caps = {s: c for s, _, c in told}
-    assert all(1 <= r["copies"] <= caps[r["source"]] for r in out) and len({r["doc_id"] for r in out}) == len(out)
+    assert all(1 <= r["copies"] <= caps[r["source"] or "b"] for r in out) and len({r["doc_id"] for r in out}) == len(out)
     total = sum(r["n_tokens"] * r["copies"] for r in out)
     for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.15)):
-        got = sum(r["n_tokens"] * r["copies"] for r in out if r["source"] == s) / total
+        # the texts without source look like b
+        got = sum(r["n_tokens"] * r["copies"] for r in out if (r["source"] or "b") == s) / total
         assert abs(got - share / 0.95) < 0.01
     # one text, one holder; its size is that of the tokenizer
     assert not {952, 953, 950, 951} & {r["doc_id"] for r in out}
     text = {i: t for i, t, *_ in rows}
     assert all(tokens.count_tokens(text[r["doc_id"]]) == r["n_tokens"] for r in out)
     report = {r["source"]: r for r in M.shares_reached(mixed, told).collect()}
-    assert report["gone"]["tokens"] == 0 and abs(sum(r["reached"] for r in report.values()) - 1) < 1e-9
+    # what texts without a source hold is reached by no label, but expected of b
+    assert report["gone"]["tokens"] == 0 and abs(sum(r["expected"] for r in report.values()) - 1) < 1e-9
+    assert abs(sum(r["reached"] for r in report.values()) + sum(r["n_tokens"] * r["copies"] for r in out if r["source"] is None) / total - 1) < 1e-9
+    assert all(abs(report[s]["expected"] - share / 0.95) < 0.01 for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.15)))
 
 
 def test_predicted_members_fill_a_shortage(spark):
@@ -51,10 +55,22 @@ def test_predicted_members_fill_a_shortage(spark):
     size = base.agg(F.sum("tokens")).first()[0]
     texts = M.distinct_texts(docs, ["a", "b", "c"])
     guess = {r["doc_id"]: r["shares"] for r in M.posteriors(docs, texts, ["a", "b", "c"]).collect()}
-    assert len(guess) == 10 and all(max(range(4), key=lambda k: p[k]) == 1 for p in guess.values())
-    # more of b than its labelled texts hold: the unlabelled ones that look like b come in
-    more, told = M.mix(docs, goals(spark, [("a", 0.05, 1), ("b", 0.95, 1)]), size=size * 1.2)
-    assert any(r["source"] is None for r in more.collect())
+    assert set(guess) == {953, *range(900, 910)} and all(max(range(4), key=lambda k: p[k]) == 1 for i, p in guess.items() if i < 950)
+    assert all(abs(sum(p) - 1) < 1e-9 for p in guess.values())
+    # they count by default, where b is the source that bounds the mix, and where more is asked for
+    for size_of, ask in ((None, [("a", 0.2, 1), ("b", 0.8, 1)]), (size * 1.2, [("a", 0.05, 1), ("b", 0.95, 1)])):
+        more, told = M.mix(docs, goals(spark, ask), size=size_of)
+        report = {r["source"]: r for r in M.shares_reached(more, told).collect()}
+        assert any(r["source"] is None for r in more.collect()) and report["b"]["expected"] > report["b"]["reached"]
+
+
+def test_memberships_add_up(spark):
+    shares = [[0.5, 0.3, 0.2, 0.0], [1 / 3, 1 / 3, 1 / 3, 0.0], [0.99, 0.004, 0.003, 0.003], [0.25, 0.25, 0.25, 0.25]]
+    df = spark.createDataFrame([(None, p) for p in shares] + [("b", None)], "source string, soft array<double>")
+    got = [r[0] for r in df.select(M._membership(F.col("source"), F.col("soft"), ["a", "b", "c"])).collect()]
+    for p, g in zip(shares, got):
+        assert len(g) == 3 and all(abs(x - y) <= 1 / 64 for x, y in zip(p, g)) and abs(sum(g) + p[3] - 1) <= 1 / 64
+    assert sum(got[1]) == 1 and got[4] == [0.0, 1.0, 0.0]
 
 
 def test_odd_tables(spark):
@@ -67,8 +83,8 @@ def test_odd_tables(spark):
 
 
 def test_rates_stay_in_bounds(spark):
-    rows = [([1.0, 0.0], 1, 100, True), ([0.0, 1.0], 3, 50, True), ([0.5, 0.5], 1, 80, False)]
-    fitted = M.fit_rates(spark.createDataFrame(rows, "shares array<double>, cap int, tokens bigint, certain boolean"), [130.0, 60.0]).collect()
+    rows = [([1.0, 0.0], 1, 100), ([0.0, 1.0], 3, 50), ([0.5, 0.5], 1, 80)]
+    fitted = M.fit_rates(spark.createDataFrame(rows, "shares array<double>, cap int, tokens bigint"), [130.0, 60.0]).collect()
     rate = {tuple(r["shares"]): r["rate"] for r in fitted}
     assert all(0 <= r["rate"] <= r["cap"] for r in fitted)
-    assert abs(100 * rate[1.0, 0.0] + 40 * rate[0.5, 0.5] - 130) < 1e-2 and abs(50 * rate[0.0, 1.0] + 40 * rate[0.5, 0.5] - 60) < 1e-2
+    assert abs(100 * rate[1.0, 0.0] + 40 * rate[0.5, 0.5] - 130) < 0.2 and abs(50 * rate[0.0, 1.0] + 40 * rate[0.5, 0.5] - 60) < 0.2
