@@ -82,10 +82,21 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(levels, "doc_id").groupBy("source", "language", "level").agg(F.count(F.lit(1)).alias("documents"), F.sum("prose_words").alias("prose_words"))
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p6_checks": p6_checks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold: every document is read once, blank ones have no level, and of the graded ones four in five have a level that a grader gave."""
+    documents, grades = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "reading_grades")
+    read = settle(_levels(spark, sf_dir))
+    blank = documents.filter(F.coalesce(F.trim("text"), F.lit("")) == "").select("doc_id").join(read.filter("level is not null"), "doc_id").agg(F.count(F.lit(1)).alias("levelled_blanks"))
+    given = grades.groupBy("doc_id").agg(F.collect_set("grade").alias("given")).join(read.filter("level is not null"), "doc_id")
+    right = given.agg((F.avg(F.array_contains("given", F.col("level")).cast("double")) >= 0.8).alias("agrees"))
+    return read.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("doc_id").alias("distinct_documents")).join(F.broadcast(blank)).join(F.broadcast(right))
+
+
+QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p6_checks": p6_checks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile, "p8_checks": p8_checks}
 
 _NAME = "regexp_replace(lower(trim(source)), '[-\\s]', '_', 'g')"
 SQL = {
     "p6_checks": "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0 AS broken, 0 AS too_full, true AS few FROM (SELECT DISTINCT container_kind FROM containers)",
+    "p8_checks": "SELECT count(*) AS documents, count(DISTINCT doc_id) AS distinct_documents, 0 AS levelled_blanks, true AS agrees FROM documents",
     "p7_checks": f"SELECT {_NAME} AS source, sum(target_share) AS target_share, true AS repeats_ok, true AS share_ok FROM mix_targets GROUP BY 1",
 }
