@@ -114,11 +114,11 @@ def composed(text: Column) -> Column:
 
     def take(kept: Column, c: Column) -> Column:
         whole = F.when(c.rlike(_MARK), F.try_element_at(table, F.concat(last(kept), c)))
-        return _let(whole, lambda w: F.when(w.isNotNull(), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(w))).otherwise(F.concat(kept, F.array(c))))
+        return let(whole, lambda w: F.when(w.isNotNull(), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(w))).otherwise(F.concat(kept, F.array(c))))
 
     walked = lambda t: F.array_join(F.aggregate(F.split(t, ""), F.array().cast("array<string>"), take), "")
     plain = F.when(text.rlike(f"[{other}]"), F.translate(text, other, usual)).otherwise(text)
-    return _let(plain, lambda t: F.when(t.rlike(_MARK), walked(t)).otherwise(t))
+    return let(plain, lambda t: F.when(t.rlike(_MARK), walked(t)).otherwise(t))
 
 
 def tidy_path(path: Column) -> Column:
@@ -128,13 +128,13 @@ def tidy_path(path: Column) -> Column:
     slashes, repeated slashes and ``.`` steps vanish, and ``..`` takes back the step before it.
     """
     # most paths are tidy already: plain signs, no blanks at the ends, no empty or dotted steps
-    return F.when(path.rlike(_TIDY), path).otherwise(_let(_let(strip_blanks(path), _decoded), _stepped))
+    return F.when(path.rlike(_TIDY), path).otherwise(let(let(strip_blanks(path), _decoded), _stepped))
 
 
 _TIDY = r"^(?!\.{0,2}(?:/|\z)|.*/\.{0,2}(?:/|\z))[!-$&-\[\]-~](?:[ -$&-\[\]-~]*[!-$&-\[\]-~])?\z"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -143,7 +143,7 @@ def _decoded(text: Column) -> Column:
     # url_decode reads '+' as a blank and fails on a stray '%', so both are protected first
     guarded = F.regexp_replace(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
     plain = F.when(F.instr(text, "%") > 0, F.coalesce(F.try_url_decode(guarded), text)).otherwise(text)
-    return _let(F.translate(plain, "\\", "/"), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), composed(t)).otherwise(t))
+    return let(F.translate(plain, "\\", "/"), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), composed(t)).otherwise(t))
 
 
 def _stepped(text: Column) -> Column:
