@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxloom.functions.names import usable_split
+from boxloom.functions.names import let, usable_split
 from boxloom.runtime import settle
 
 #: Bits per digit: a histogram has at most 256 rows per part, group and open digit.
@@ -30,17 +30,25 @@ DIGIT_BITS = 8
 def ordered_key(value: Column) -> Column:
     """A double as a bigint with the same order: exponent and fraction as one number, negated below zero.
 
-    Built from arithmetic that is exact in binary floating point, so it stays inside generated code.
+    Built from arithmetic that is exact in binary floating point.
     """
-    x = F.abs(value.cast("double"))
-    guess = F.greatest(F.floor(F.log2(x)), F.lit(-1022))
-    step = F.when(x >= F.pow(F.lit(2.0), guess + 1), 1).when(x < F.pow(F.lit(2.0), guess), -1).otherwise(0)
-    e = F.least(F.greatest(guess + step, F.lit(-1022)), F.lit(1023))
-    # two exact scalings instead of one, since 2^1074 is no double
-    scaled = (x * F.pow(F.lit(2.0), F.least(-e, F.lit(1000)))) * F.pow(F.lit(2.0), F.lit(52) + F.greatest(-e - 1000, F.lit(0)))
-    magnitude = (e.cast("bigint") + 1022) * F.lit(1 << 52) + scaled.cast("bigint")
-    key = F.when(x == 0, F.lit(0)).when(x == float("inf"), F.lit(0x7FF << 52)).otherwise(magnitude)
-    return F.when(value.isNull() | F.isnan(value.cast("double")), None).when(value < 0, -key).otherwise(key)
+
+    def at(x: Column, e: Column) -> Column:
+        # two exact scalings instead of one, since 2^1074 is no double
+        scaled = (x * F.pow(F.lit(2.0), F.least(-e, F.lit(1000)))) * F.pow(F.lit(2.0), F.lit(52) + F.greatest(-e - 1000, F.lit(0)))
+        return (e.cast("bigint") + 1022) * F.lit(1 << 52) + scaled.cast("bigint")
+
+    def exponent(x: Column, guess: Column) -> Column:
+        step = F.when(x >= F.pow(F.lit(2.0), guess + 1), 1).when(x < F.pow(F.lit(2.0), guess), -1).otherwise(0)
+        return F.least(F.greatest(guess + step, F.lit(-1022)), F.lit(1023))
+
+    def key(x: Column) -> Column:
+        guess = F.greatest(F.floor(F.log2(x)), F.lit(-1022))
+        magnitude = let(let(guess, lambda g: exponent(x, g)), lambda e: at(x, e))
+        return F.when(x == 0, F.lit(0)).when(x == float("inf"), F.lit(0x7FF << 52)).otherwise(magnitude)
+
+    found = let(F.abs(value.cast("double")), key)
+    return F.when(value.isNull() | F.isnan(value.cast("double")), None).when(value < 0, -found).otherwise(found)
 
 
 def value_of(key: Column) -> Column:
