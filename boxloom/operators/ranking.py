@@ -58,35 +58,6 @@ def running(df: DataFrame, keys: list[str], order: list[Column], rank: str, sums
     return both.select(*df.columns, (F.col("_i") + F.col("_b_")).alias(rank), *told)
 
 
-def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, rank: str = "rank", rows_per_bucket: int = 100_000) -> DataFrame:
-    """Adds ``rank``: 0, 1, 2, ... within each key, unique and without gaps.
-
-    A key with many rows is dealt over buckets by the hash of ``salt``; rows are numbered inside a bucket by
-    ``order`` (so ``order`` holds within buckets, and for the whole key where the key has one bucket), and each
-    bucket starts where the buckets before it end. A sort never takes more than about ``rows_per_bucket`` rows.
-    Adds the columns ``_n`` (rows of the key) and ``_bucket`` too; callers drop them.
-    """
-    alias = [f"_k{i}" for i in range(len(keys))]
-    matching = lambda: reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, alias)])
-    named = [F.col(k).alias(a) for k, a in zip(keys, alias)]
-    # at most (all rows / rows_per_bucket) keys can be hot
-    hot = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > rows_per_bucket)
-    hot = hot.select(*alias, F.ceil(F.col("_all") / rows_per_bucket).cast("int").alias("_buckets"))
-    salted = df.join(hot, matching(), "left").withColumn("_bucket", F.pmod(F.xxhash64(salt), F.coalesce("_buckets", F.lit(1)).cast("long")).cast("int"))
-    salted = salted.drop(*alias, "_buckets")
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    sized = salted.groupBy(*named, F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_rows"))
-    of_key = Window.partitionBy(*alias)
-    starts = sized.select(
-        *alias, "_b",
-        F.coalesce(F.sum("_rows").over(of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(of_key).alias("_n"),
-    )
-    numbered = salted.withColumn("_inner", F.row_number().over(inner) - 1)
-    both = numbered.join(starts, matching() & (F.col("_bucket") == F.col("_b")))
-    return both.withColumn(rank, F.col("_start") + F.col("_inner")).drop(*alias, "_b", "_start", "_inner")
-
-
 def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows_per_salt: int = 1_000_000) -> DataFrame:
     """``big`` joined with ``small``, which has each key once, where one key may hold a third of ``big``.
 

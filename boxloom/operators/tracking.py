@@ -1,12 +1,14 @@
 """Multi-object tracking: a constant-velocity Kalman filter and two-stage association by overlap.
 
-A tracker is a small state per stream that is fed one frame at a time, in order. In batch a stream's frames run
-through it in one group; in a stream the state lives in the state store (see ``boxloom.streaming.trackers``).
-Track numbers count per stream.
+A tracker is a small state per stream that is fed one frame at a time, in order. Frames without boxes between the
+first and the last one of a stream are steps too: motion goes on, and tracks get lost and end. In batch a stream's frames
+run through the tracker batch by batch in their order, so a task holds a batch of rows and the state of one stream; in a
+stream the state lives in the state store (see ``boxloom.streaming.trackers``). Track numbers count per stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -139,17 +141,25 @@ class Tracker:
     """All tracks of a stream; ``step`` takes the boxes of one frame and gives those that belong to a track."""
 
     def __init__(self, limits: Limits | None = None) -> None:
-        self.limits, self.tracks, self.last = limits or Limits(), [], 0
+        self.limits, self.tracks, self.last, self.frame = limits or Limits(), [], 0, None
 
     def dump(self) -> dict:
-        return {"last": self.last, "tracks": [vars(t) for t in self.tracks]}
+        return {"last": self.last, "frame": self.frame, "tracks": [vars(t) for t in self.tracks]}
 
     @classmethod
     def load(cls, state: dict, limits: Limits | None = None) -> Tracker:
         out = cls(limits)
-        out.last, out.tracks = state["last"], [Track(**t) for t in state["tracks"]]
+        out.last, out.frame, out.tracks = state["last"], state["frame"], [Track(**t) for t in state["tracks"]]
         return out
 
+    def advance(self, frame: int, rows: list[dict]) -> list[tuple[Track, dict]]:
+        """Steps over the empty frames since the last one, as long as there are tracks that they could change, and then ``frame``."""
+        empty = frame if self.frame is None else self.frame + 1
+        while empty < frame and self.tracks:
+            self.step(empty, [])
+            empty += 1
+        return self.step(frame, rows)
+
     def _cost(self, tracks: list[Track], rows: list[dict], fuse: bool) -> np.ndarray:
         if not tracks or not rows:
             return np.zeros((len(tracks), len(rows)))
@@ -157,7 +167,8 @@ class Tracker:
         return 1 - (1 - cost) * np.array([r["score"] for r in rows]) if fuse else cost
 
     def step(self, frame: int, rows: list[dict]) -> list[tuple[Track, dict]]:
-        at = self.limits
+        at, first = self.limits, self.frame is None
+        self.frame = frame
         strong = [r for r in rows if r["score"] >= at.high]
         weak = [r for r in rows if at.low < r["score"] < at.high]
         confirmed = [t for t in self.tracks if t.kind != "new"]
@@ -185,10 +196,10 @@ class Tracker:
             if r["score"] >= at.new:
                 self.last += 1
                 mean, cov = Motion.start(to_measure(r["box"]))
-                # on a stream's first frame a track counts at once
-                t = Track(self.last, mean.tolist(), cov.ravel().tolist(), r["score"], r["cls"], frame, frame, "tracked" if frame == 1 else "new")
+                # at a stream's first step a track counts at once
+                t = Track(self.last, mean.tolist(), cov.ravel().tolist(), r["score"], r["cls"], frame, frame, "tracked" if first else "new")
                 self.tracks.append(t)
-                if frame == 1:
+                if first:
                     out.append((t, r))
         self.tracks = [t for t in self.tracks if id(t) not in gone and not (t.kind == "lost" and frame - t.seen > at.buffer)]
         self._drop_doubles()
@@ -209,21 +220,44 @@ class Tracker:
         self.tracks = [t for t in self.tracks if id(t) not in drop]
 
 
+_COLUMNS = ["stream", "frame_no", "track_id", "x1", "y1", "x2", "y2", "score", "cls"]
+
+
 def track_frames(tracker: Tracker, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Feeds the frames of one stream, in order, and gives the tracked boxes."""
+    """Feeds whole frames of one stream, in order, and gives the tracked boxes."""
     out = []
     for frame, rows in pdf.sort_values(["frame_no", "x1", "y1"]).groupby("frame_no", sort=True):
         boxes = [{"box": np.array([r.x1, r.y1, r.x2, r.y2]), "score": float(r.score), "cls": int(r.cls)} for r in rows.itertuples()]
-        for t, r in tracker.step(int(frame), boxes):
+        for t, r in tracker.advance(int(frame), boxes):
             x1, y1, x2, y2 = t.box()
             out.append((pdf["stream"].iloc[0], int(frame), t.track_id, x1, y1, x2, y2, r["score"], r["cls"]))
-    return pd.DataFrame(out, columns=["stream", "frame_no", "track_id", "x1", "y1", "x2", "y2", "score", "cls"])
+    return pd.DataFrame(out, columns=_COLUMNS)
 
 
-def track(boxes: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """Tracked boxes of ``stream, frame_no, x1, y1, x2, y2, score, cls``; one stream is one group, as its order is inherent."""
+def track_sorted(batches: Iterator[pd.DataFrame], limits: Limits | None = None) -> Iterator[pd.DataFrame]:
+    """Tracks rows that come in batches sorted by stream and frame; a frame cut by the end of a batch waits for the next one."""
+    tracker, stream, held = Tracker(limits), None, None
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return track_frames(Tracker(limits), pdf)
+    def feed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        nonlocal tracker, stream
+        for name, of_stream in rows.groupby("stream", sort=True):
+            if name != stream:
+                tracker, stream = Tracker(limits), name
+            yield track_frames(tracker, of_stream)
 
-    return boxes.groupBy("stream").applyInPandas(each, TRACKED)
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        open_ = (rows["stream"] == rows["stream"].iloc[-1]) & (rows["frame_no"] == rows["frame_no"].iloc[-1])
+        held = rows[open_]
+        yield from feed(rows[~open_])
+    if held is not None:
+        yield from feed(held)
+
+
+def track(boxes: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """Tracked boxes of ``stream, frame_no, x1, y1, x2, y2, score, cls``; a stream is one task's work, as its order is inherent. Rows without stream or frame take no part."""
+    usable = boxes.filter("stream is not null and frame_no is not null").select("stream", "frame_no", "x1", "y1", "x2", "y2", "score", "cls")
+    in_order = usable.repartition("stream").sortWithinPartitions("stream", "frame_no", "x1", "y1")
+    return in_order.mapInPandas(lambda batches: track_sorted(batches, limits), TRACKED)

@@ -9,9 +9,11 @@ from boxloom.functions import geometry as G
 from boxloom.functions import text as X
 from boxloom.operators import frames as R
 from boxloom.operators import tracking as T
+from boxloom.operators.ranking import ordered_rank
+from boxloom.plans import shared_sql as S
 from boxloom.plans.detection_queries import predictions
 from boxloom.plans.registry import Registry
-from boxloom.runtime import read_table
+from boxloom.runtime import read_table, settle
 from boxloom.streaming import windows as W
 
 query = Registry()
@@ -173,11 +175,25 @@ def value_kinds(spark, d):
     return read_table(spark, d, "events").select("event_id", X.typed(t).alias("kind"), X.clean_text(F.col("event_type")).alias("clean"))
 
 
+def _stream(spark, d):
+    """Predictions as frames of one stream per run, in the order of the images."""
+    p = predictions(spark, d)
+    frames = ordered_rank(p.select("run_id", "image_id").distinct(), ["run_id"], [F.col("image_id").cast("bigint").asc(), F.col("image_id").asc()], "frame_no")
+    return p.join(frames.withColumn("frame_no", F.col("frame_no") + 1), ["run_id", "image_id"]).select(F.col("run_id").alias("stream"), "frame_no", "x1", "y1", "x2", "y2", "score", "cls")
+
+
 @query()
 def tracked_boxes(spark, d):
     """Predictions as frames of one stream per run, tracked."""
-    p = predictions(spark, d)
-    w = Window.partitionBy("run_id").orderBy(F.col("image_id").cast("bigint"))
-    frames = p.select("run_id", "image_id").distinct().withColumn("frame_no", F.row_number().over(w).cast("bigint"))
-    boxes = p.join(frames, ["run_id", "image_id"]).select(F.col("run_id").alias("stream"), "frame_no", "x1", "y1", "x2", "y2", "score", "cls")
-    return T.track(boxes)
+    return T.track(_stream(spark, d))
+
+
+@query(f"WITH {S.DET}, f AS (SELECT *, dense_rank() OVER (PARTITION BY run_id ORDER BY CAST(image_id AS BIGINT), image_id) AS frame_no FROM det) SELECT run_id AS stream, count_if(frame_no = 1 AND score >= 0.25) AS first_boxes, 0 AS repeated, 0 AS strangers FROM f GROUP BY run_id")
+def tracked_checks(spark, d):
+    """Per stream what must hold: strong boxes of the first frame are tracked at once, no track is twice in a frame, no box comes from nowhere."""
+    boxes = settle(_stream(spark, d))
+    tracked = settle(T.track(boxes))
+    per = tracked.groupBy("stream").agg(F.count_if(F.col("frame_no") == 1).alias("first_boxes"), (F.count(F.lit(1)) - F.count_distinct("frame_no", "track_id")).alias("repeated"))
+    alien = tracked.join(boxes.select("stream", "frame_no", "score", "cls").distinct(), ["stream", "frame_no", "score", "cls"], "left_anti").groupBy("stream").agg(F.count(F.lit(1)).alias("strangers"))
+    out = boxes.select("stream").distinct().join(per, "stream", "left").join(alien, "stream", "left")
+    return out.select("stream", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("first_boxes", "repeated", "strangers")])

@@ -9,31 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from boxloom.operators.tracking import TRACKED, Limits, Tracker, track_frames
+from boxloom.operators.tracking import _COLUMNS, TRACKED, Limits, Tracker, track_frames
 
 CROSSED = "stream string, track_id bigint, frame_no bigint, direction string"
 
 
 class TrackerProcessor(StatefulProcessor):
-    """A tracker per stream. Frames of a batch are put in order; frames at or before the last one seen are refused."""
+    """A tracker per stream. Frames of a batch are put in order; boxes of frames at or before the last one seen come too late and are given back without a track."""
 
     def __init__(self, limits: Limits | None = None) -> None:
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tracks", "frame bigint, body string")
+        self.state = handle.getValueState("tracks", "body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
-        tracker, frame = Tracker(self.limits), -1
-        if self.state.exists():
-            frame, body = self.state.get()
-            tracker = Tracker.load(json.loads(body), self.limits)
-        pdf = pdf[pdf["frame_no"] > frame]
-        if len(pdf):
-            out = track_frames(tracker, pdf)
-            self.state.update((int(pdf["frame_no"].max()), json.dumps(tracker.dump())))
-            yield out
+        tracker = Tracker.load(json.loads(self.state.get()[0]), self.limits) if self.state.exists() else Tracker(self.limits)
+        late = pdf["frame_no"] <= tracker.frame if tracker.frame is not None else pd.Series(False, index=pdf.index)
+        if (~late).any():
+            yield track_frames(tracker, pdf[~late])
+            self.state.update((json.dumps(tracker.dump()),))
+        if late.any():
+            yield pdf[late].assign(track_id=pd.array([None] * int(late.sum()), dtype="Int64"))[_COLUMNS]
 
     def close(self) -> None:
         pass
@@ -51,14 +49,14 @@ class CrossingProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("frame_no")
         before, counted = self.state.get() if self.state.exists() else (None, False)
-        out = []
-        for r in pdf.itertuples():
-            if not counted and before is not None and (before - self.x) * (r.x - self.x) <= 0 and before != r.x:
-                counted = True
-                out.append((key[0], int(key[1]), int(r.frame_no), "in" if r.x > before else "out"))
-            before = float(r.x)
-        self.state.update((before, counted))
-        yield pd.DataFrame(out, columns=["stream", "track_id", "frame_no", "direction"])
+        x = pdf["x"].astype(float)
+        last = x.shift(1)
+        last.iloc[0] = float("nan") if before is None else before
+        hit = ((last - self.x) * (x - self.x) <= 0) & (last != x)
+        if not counted and hit.any():
+            counted, at = True, hit.to_numpy().argmax()
+            yield pd.DataFrame([(key[0], int(key[1]), int(pdf["frame_no"].iloc[at]), "in" if x.iloc[at] > last.iloc[at] else "out")], columns=["stream", "track_id", "frame_no", "direction"])
+        self.state.update((float(x.iloc[-1]), counted))
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@ import datetime
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,28 @@ def test_motion_is_a_filter():
     assert T.gated_cost(np.array([[0.4]]), np.array([[0.1]]))[0, 0] == 0.05 and T.gated_cost(np.array([[0.6]]), np.array([[0.1]]))[0, 0] == 0.6
 
 
+def test_empty_frames_are_steps(spark):
+    box = lambda x: {"box": np.array([x, 10.0, x + 20, 40.0]), "score": 0.9, "cls": 0}
+    # seen in frames 1 to 6, moving on unseen, and seen again where it must be by then
+    t = T.Tracker()
+    ids_ = [a.track_id for f in (*range(1, 7), 12, 13) for a, _ in t.advance(f, [box(3.0 * f)])]
+    assert ids_ == [1] * 8 and t.frame == 13 and T.Tracker.load(t.dump()).frame == 13
+    # a track seen once ends with the next frame, an old one after the buffer, and a long gap costs no steps without tracks
+    t = T.Tracker()
+    t.advance(0, [box(0.0)])
+    assert [a.track_id for a, _ in t.advance(1, [box(3.0)])] == [1]
+    t.advance(2, [box(6.0), box(300.0)])
+    assert [a.track_id for a, _ in t.advance(4, [box(12.0), box(300.0)])] == [1]
+    assert t.advance(10**9, [box(12.0)]) == [] and [x.kind for x in t.tracks] == ["new"]
+    # a stream that starts at frame 0 counts its first boxes at once
+    assert [a.track_id for a, _ in T.Tracker().advance(0, [box(5.0)])] == [1]
+    rows = pd.DataFrame([(s, f, 3.0 * f, 10.0, 3.0 * f + 20, 40.0, 0.9, 0) for s in "ab" for f in (1, 2, 3, 7)], columns=["stream", "frame_no", "x1", "y1", "x2", "y2", "score", "cls"])
+    whole = pd.concat(T.track_sorted(iter([rows])))
+    for cut in range(1, 8):
+        assert pd.concat(T.track_sorted(iter([rows[:cut], rows[cut:]]))).equals(whole) or (pd.concat(T.track_sorted(iter([rows[:cut], rows[cut:]]))).to_numpy() == whole.to_numpy()).all()
+    assert len(whole) == 8 and list(T.track_sorted(iter([]))) == []
+
+
 def test_batch_and_stream_trackers_agree(spark, tmp_path):
     schema = "stream string, frame_no bigint, x1 double, y1 double, x2 double, y2 double, score double, cls int"
     rows = [(s, *b, 0) for s in ("a", "b") for b in moving(range(1, 9), 2.0 if s == "a" else 4.0)]
@@ -108,6 +131,15 @@ def test_batch_and_stream_trackers_agree(spark, tmp_path):
     q = trackers.track_stream(stream).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("tracked").collect()} == want
+    # what comes too late is given back without a track
+    whole.filter("stream = 'a' and frame_no = 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = trackers.track_stream(stream).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    late = []
+    again = trackers.track_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = again.writeStream.foreachBatch(lambda df, _: late.extend(df.filter("track_id is null").collect())).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["stream"], r["frame_no"]) for r in late] == [("a", 3)]
 
 
 def test_stream_of_crossings_and_late_rows(spark, tmp_path):
