@@ -16,11 +16,16 @@ from boxloom.operators.ranking import ordered_rank
 MOST_KINDS = 200_000
 #: Places of a kind in the order of a trial.
 PORTIONS = 16
+# Fixed value: the penalty of a split without any capture sequence.
+UNCOVERED = 100.0
 
 
-def counted_trial(metrics: np.ndarray, counts: np.ndarray, shares: np.ndarray, weights: np.ndarray, seed: int, noise: float = 0.08) -> tuple[float, np.ndarray]:
+def counted_trial(metrics: np.ndarray, counts: np.ndarray, shares: np.ndarray, weights: np.ndarray, seed: int, noise: float = 0.08, cover: int | None = None) -> tuple[float, np.ndarray]:
     """(weighted squared relative error, components of each kind per split): large kinds first, each to where the error stays least.
 
+    With ``cover``, the number of a metric, a trial in which a split besides the first has nothing of it has an error of
+    ``UNCOVERED`` more for each.
+
     The order is disturbed a little by the seed, so that trials differ. A kind with many components is cut into
     ``PORTIONS`` with a place of their own each, so that kinds mix; of a portion a part of what is left goes at once, in
     the end one by one.
@@ -47,7 +52,8 @@ def counted_trial(metrics: np.ndarray, counts: np.ndarray, shares: np.ndarray, w
             now[k] += n * metrics[i]
             dealt[kind[i], k] += n
             left -= n
-    return float((weights * ((now - goal) / target) ** 2).sum()), dealt
+    bare = 0 if cover is None else int((now[1:, cover] <= 0).sum())
+    return float((weights * ((now - goal) / target) ** 2).sum()) + UNCOVERED * bare, dealt
 
 
 def one_trial(metrics: np.ndarray, shares: np.ndarray, weights: np.ndarray, seed: int, noise: float = 0.08) -> tuple[float, np.ndarray]:
@@ -69,24 +75,25 @@ def _kinds(components: DataFrame, metrics: list[str]) -> tuple[DataFrame, list]:
     raise ValueError(f"more than {MOST_KINDS} kinds of components even in whole doublings; use fewer metrics")
 
 
-def allocate(components: DataFrame, key: str, metrics: list[str], shares: dict[str, float], trials: int = 64, seed: int = 0, weights: list[float] | None = None) -> DataFrame:
+def allocate(components: DataFrame, key: str, metrics: list[str], shares: dict[str, float], trials: int = 64, seed: int = 0, weights: list[float] | None = None, cover: str | None = None) -> DataFrame:
     """``key, split, error`` of the best of ``trials`` seeded trials, run side by side; equal errors go to the lower seed.
 
     Components with equal metrics are interchangeable: trials deal their numbers, and components take the splits of
-    their kind by rank in a pseudo-random order.
+    their kind by rank in a pseudo-random order. ``cover`` names a metric of which every split needs some.
     """
     spark = components.sparkSession
+    need = metrics.index(cover) if cover else None
     told, rows = _kinds(components, metrics)
     names = list(shares)
     held = spark.sparkContext.broadcast((np.array([[r[f"_m{i}"] for i in range(len(metrics))] for r in rows]).reshape(-1, len(metrics)), np.array([r["_n"] for r in rows], int), np.array([shares[n] for n in names]) / sum(shares.values()), np.array(weights or [1.0] * len(metrics))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(int(i), counted_trial(*held.value, seed + int(i))[0]) for i in batch["id"]], columns=["trial", "error"])
+            yield pd.DataFrame([(int(i), counted_trial(*held.value, seed + int(i), cover=need)[0]) for i in batch["id"]], columns=["trial", "error"])
 
     tried = spark.range(0, trials, 1, min(trials, spark.sparkContext.defaultParallelism)).mapInPandas(run, "trial bigint, error double")
     best = tried.agg(F.min(F.struct("error", "trial")).alias("m")).select("m.*").first()
-    _, dealt = counted_trial(*held.value, seed + best["trial"])
+    _, dealt = counted_trial(*held.value, seed + best["trial"], cover=need)
     plan = spark.createDataFrame([(r["_kind"], [int(e) for e in ends]) for r, ends in zip(rows, dealt.cumsum(1))], "_plan array<double>, _ends array<bigint>")
     ranked = ordered_rank(told, ["_kind"], [F.xxhash64(key), F.col(key)], "_rank")
     # the plan has a row per kind, so at most MOST_KINDS

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from boxloom.functions.labels import label_lines, usable_signature
 from boxloom.functions.names import source_name, usable_split
+from boxloom.operators.ranking import lookup
 from boxloom.runtime import settle
 
 
@@ -108,26 +109,33 @@ def deduplicated(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("r")).select(key, "r.*")
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Count and two order-free sums of hashes: equal for equal sets of edges."""
+    row = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(row.bitwiseAND(0xFFFFFFFF))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its least node) of undirected edges ``a, b``, by alternating large and small stars.
 
     Each round links every vertex to the least of its neighbours, first among larger, then among smaller ones; the
-    number of rounds is logarithmic for usual graphs. Rounds are grouped minima and equi-joins; only a count of
-    changed rows reaches the driver.
+    number of rounds is logarithmic for usual graphs. Rounds are grouped minima and equi-joins; whether a round changed
+    anything is told by a sum of hashes over its result.
     """
     now = settle(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).filter("a <> b").distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    mark = _mark(now)
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = settle(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        # every vertex meets the least of its neighbours once, also one that half of all edges end in
+        large = settle(lookup(both.filter("b > a"), low, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         down = large.filter("b < a")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a")
-        nxt = settle(small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        same = nxt.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(nxt, ["a", "b"], "left_anti").isEmpty()
-        now = nxt
-        if same:
+        small = lookup(down, least, "a", "inner")
+        now = settle(small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -137,7 +145,7 @@ def component_edges(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
     each = []
     for k in keys:
         named = rows.filter(F.col(k).isNotNull()).select(F.col(row_id).alias("a"), F.col(k).alias("_key"))
-        each.append(named.join(named.groupBy("_key").agg(F.min("a").alias("b")), "_key").select("a", "b"))
+        each.append(lookup(named, named.groupBy("_key").agg(F.min("a").alias("b")), "_key", "inner").select("a", "b"))
     return reduce(DataFrame.unionByName, each).filter("a <> b").distinct()
 
 

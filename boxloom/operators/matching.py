@@ -19,17 +19,19 @@ from boxloom.functions import boxes as B
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
-def overlap_pairs(predictions: DataFrame, truth: DataFrame, by_class: bool = True, kernel: Callable = B.iou) -> DataFrame:
+def overlap_pairs(predictions: DataFrame, truth: DataFrame, by_class: bool = True, kernel: Callable = B.iou, shape: tuple[str, ...] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """Predictions joined with the truth of their image: ``run_id, image_id, det, gt, cls, gt_cls, score, iou``.
 
     ``predictions`` needs ``det`` (an id that orders by falling score within run and image), ``truth`` needs ``gt``.
+    ``shape`` names the columns that tell the shape on both sides; ``kernel`` gets those of the truth and of the
+    prediction and gives their overlap, so masks, keypoints and turned boxes are matched as boxes are.
     """
-    p = predictions.select("run_id", "image_id", "det", "cls", "score", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
-    t = truth.select("image_id", "gt", F.col("cls").alias("gt_cls"), *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
+    p = predictions.select("run_id", "image_id", "det", "cls", "score", *[F.col(c).alias(f"p_{c}") for c in shape])
+    t = truth.select("image_id", "gt", F.col("cls").alias("gt_cls"), *[F.col(c).alias(f"t_{c}") for c in shape])
     pairs = p.join(t, "image_id")
     if by_class:
         pairs = pairs.filter("cls = gt_cls")
-    return pairs.select("run_id", "image_id", "det", "gt", "cls", "gt_cls", "score", kernel(B.columns("t_"), B.columns("p_")).alias("iou"))
+    return pairs.select("run_id", "image_id", "det", "gt", "cls", "gt_cls", "score", kernel(tuple(F.col(f"t_{c}") for c in shape), tuple(F.col(f"p_{c}") for c in shape)).alias("iou"))
 
 
 def ranked_predictions(predictions: DataFrame) -> DataFrame:
@@ -202,14 +204,15 @@ def assign(cost: np.ndarray, limit: float = np.inf) -> list[tuple[int, int]]:
     return sorted((i, j) for i, j in pairs if i < n and j < m and cost[i, j] <= limit)
 
 
-def per_image(predictions: DataFrame, truth: DataFrame, fn: Callable, columns: list[str], schema: str, images_per_task: int = 5_000) -> DataFrame:
+def per_image(predictions: DataFrame, truth: DataFrame, fn: Callable, columns: list[str], schema: str, boxes_per_task: int = 50_000) -> DataFrame:
     """``fn(predictions, truth)`` over the boxes of each run and image, for sequential matchers.
 
     ``fn`` gets two frames ordered by ``det`` and ``gt`` and gives rows without the two keys. About
-    ``images_per_task`` images travel together, as a batch per image would cost more than its work.
+    ``boxes_per_task`` predictions travel together, as a batch per image would cost more than its work; a bucket holds
+    whole images, so a task gets more only if a single image does.
     """
     seen = predictions.select("run_id", "image_id").distinct()
-    buckets = max(1, -(-seen.count() // images_per_task))
+    buckets = max(1, -(-predictions.count() // boxes_per_task))
     bucket = F.pmod(F.xxhash64("run_id", "image_id"), F.lit(buckets)).alias("bucket")
     p = predictions.select("*", bucket)
     both = seen.join(truth, "image_id").select("*", bucket)

@@ -13,7 +13,7 @@ from boxloom.operators import search as V
 from boxloom.operators.ranking import ordered_rank
 from boxloom.plans import shared_sql as S
 from boxloom.plans.registry import Registry
-from boxloom.runtime import read_table
+from boxloom.runtime import read_table, scratch_path
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -312,15 +312,27 @@ def tiles(spark, d):
 _D = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
 
-@query(f"""WITH u AS (SELECT vec_id, list_transform({_D}, lambda x: x / sqrt(list_inner_product({_D}, {_D}))) AS v FROM embeddings),
+_NEAREST = f"""WITH u AS (SELECT vec_id, list_transform({_D}, lambda x: x / sqrt(list_inner_product({_D}, {_D}))) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score FROM u q, u e WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM s) SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE k <= 30 AND score >= 0.1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM s) SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE k <= 30 AND score >= 0.1"""
+
+
+@query(_NEAREST)
 def nearest_vectors(spark, d):
     """The 30 nearest vectors of every vector whose id is divisible by 20, and of these those at 0.1 or more."""
     e = read_table(spark, d, "embeddings")
     return V.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding", 30, 0.1).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query(_NEAREST)
+def kept_index_search(spark, d):
+    """The same from an index that is built once, kept, and opened again for the search."""
+    e, path = read_table(spark, d, "embeddings"), scratch_path(spark, "index")
+    for _ in range(2):
+        index = V.kept_index(spark, path, lambda: V.packed(e, "vec_id", "embedding"))
+    return V.nearest(e.filter("vec_id % 20 = 0"), index, "vec_id", "embedding", 30, 0.1).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("WITH s AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS cls, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT vec_id, cls, round(v, 6) AS score FROM s WHERE v > 0.2")
 def multi_label(spark, d):
     """All classes of a score vector above a limit."""

@@ -14,7 +14,7 @@ from boxloom.operators import audit as A
 from boxloom.operators import experiments as E
 from boxloom.operators import matching as M
 from boxloom.operators import metrics
-from boxloom.operators.ranking import ordered_rank
+from boxloom.operators.ranking import lookup, ordered_rank
 from boxloom.plans import shared_sql as S
 from boxloom.plans.dataset_queries import _I as INVENTORY
 from boxloom.plans.dataset_queries import inv
@@ -79,18 +79,16 @@ def mask_boxes(spark, d):
     return cells.groupBy("record_id").agg(zero(F.min(x), "x1"), zero(F.min(y), "y1"), zero(F.max(x), "x2"), zero(F.max(y), "y2"), F.count_if(on).alias("cells"))
 
 
-@query(f"WITH {_THUMB}, s AS (SELECT DISTINCT record_id, source_id FROM image_records WHERE source_id IS NOT NULL AND trim(source_id) <> ''), m AS (SELECT record_id, list(x + 8 * y) FILTER (v >= 8) AS on_ FROM cell GROUP BY record_id), p AS (SELECT a.record_id AS a, b.record_id AS b, len(list_intersect(ma.on_, mb.on_)) AS i, len(ma.on_) AS na, len(mb.on_) AS nb FROM s a JOIN s b ON a.source_id = b.source_id AND a.record_id < b.record_id JOIN m ma ON ma.record_id = a.record_id JOIN m mb ON mb.record_id = b.record_id) SELECT DISTINCT a, b, round(i / (na + nb - i + 1e-7), 6) AS iou FROM p WHERE na > 0 AND nb > 0")
+@query(f"WITH {INVENTORY}, {_THUMB}, m AS (SELECT record_id, list(x + 8 * y) FILTER (v >= 8) AS on_ FROM cell GROUP BY record_id), s AS (SELECT m.record_id, on_, source FROM m JOIN iv USING (record_id) WHERE len(on_) > 0 AND source IS NOT NULL), f AS (SELECT source, min(record_id) AS a FROM s GROUP BY source) SELECT f.a, b.record_id AS b, round(len(list_intersect(x.on_, b.on_)) / (len(x.on_) + len(b.on_) - len(list_intersect(x.on_, b.on_)) + 1e-7), 6) AS iou FROM f JOIN s x ON x.record_id = f.a JOIN s b ON b.source = f.source AND b.record_id > f.a")
 def mask_overlaps(spark, d):
-    """Overlap of the bright halves of thumbnails of records with the same source, by counting common bits."""
+    """Overlap of the bright half of each thumbnail with that of the first record of its source, by counting common bits."""
     bits = F.aggregate(F.split("thumb", ""), F.lit(0).cast("bigint"), lambda a, c: F.when(c == "", a).otherwise(F.shiftleft(a, 1).bitwiseOR(F.when(c >= "8", F.lit(1)).otherwise(F.lit(0)).cast("bigint"))))
     masks = thumbs(spark, d).select("record_id", bits.alias("m")).filter("m <> 0")
-    source = read_table(spark, d, "image_records").filter("source_id is not null and trim(source_id) <> ''").select("record_id", "source_id").distinct()
-    named = masks.join(source, "record_id")
-    a = named.select(F.col("record_id").alias("a"), "source_id", F.col("m").alias("ma"))
-    b = named.select(F.col("record_id").alias("b"), "source_id", F.col("m").alias("mb"))
-    both = F.bit_count(F.col("ma").bitwiseAND(F.col("mb")))
-    either = F.bit_count(F.col("ma")) + F.bit_count(F.col("mb")) - both
-    return a.join(b, "source_id").filter("a < b").select("a", "b", r6(both / (either + 1e-7), "iou")).distinct()
+    named = masks.join(inv(spark, d).select("record_id", "source").filter("source is not null"), "record_id")
+    first = named.groupBy("source").agg(F.min(F.struct("record_id", "m")).alias("f")).select("source", F.col("f.record_id").alias("a"), F.col("f.m").alias("ma"))
+    both = F.bit_count(F.col("ma").bitwiseAND(F.col("m")))
+    either = F.bit_count(F.col("ma")) + F.bit_count(F.col("m")) - both
+    return lookup(named, first, "source", "inner").filter("record_id > a").select("a", F.col("record_id").alias("b"), r6(both / (either + 1e-7), "iou"))
 
 
 @query()
@@ -128,8 +126,8 @@ def split_trials(spark, d):
     rows = settle(inv(spark, d).select("record_id", "source", "video", "instances"))
     tied = A.components(A.component_edges(rows, "record_id", ["source", "video"])).select(F.col("node").alias("record_id"), "component")
     named = rows.join(tied, "record_id", "left").withColumn("component", F.coalesce("component", "record_id"))
-    sizes = settle(named.groupBy("component").agg(F.count(F.lit(1)).alias("images"), F.sum("instances").alias("boxes"), F.count_if(F.col("instances") == 0).alias("empty")))
-    return allocation.allocate(sizes, "component", ["images", "boxes", "empty"], {"train": 0.7, "valid": 0.15, "test": 0.15}, 16, 7, [5.0, 2.0, 0.5]).select("component", "split")
+    sizes = settle(named.groupBy("component").agg(F.count(F.lit(1)).alias("images"), F.sum("instances").alias("boxes"), F.count_if(F.col("instances") == 0).alias("empty"), F.count_if(F.col("video").isNotNull()).alias("frames")))
+    return allocation.allocate(sizes, "component", ["images", "boxes", "empty", "frames"], {"train": 0.7, "valid": 0.15, "test": 0.15}, 16, 7, [5.0, 2.0, 0.5, 1.0], "frames").select("component", "split")
 
 
 @query(f"WITH {INVENTORY}, f AS (SELECT image_sha256, min(record_id) AS first FROM iv WHERE image_sha256 IS NOT NULL GROUP BY 1) SELECT i.record_id, CASE WHEN f.first <> i.record_id THEN f.first END AS reused_from FROM iv i LEFT JOIN f ON f.image_sha256 = i.image_sha256")
