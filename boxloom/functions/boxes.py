@@ -161,6 +161,11 @@ def keypoint_similarity(distance2: Column, sigma: Column, area_: Column, eps: fl
     return F.exp(-distance2 / ((2 * sigma) * (2 * sigma) * (area_ + eps) * 2))
 
 
+def smoothed_pair(eps: float = 0.1) -> tuple[Column, Column]:
+    """Targets of the own class and of the others when labels are smoothed by ``eps``."""
+    return F.lit(1 - eps / 2), F.lit(eps / 2)
+
+
 def size_name(side: Column) -> Column:
     """``tiny`` below 16 px, ``small`` below 32, ``medium`` below 96, else ``large``."""
     return F.when(side < 16, "tiny").when(side < 32, "small").when(side < 96, "medium").otherwise("large")

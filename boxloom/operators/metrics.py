@@ -161,3 +161,9 @@ def common_operating_point(curve: DataFrame, width: float = 0.1) -> DataFrame:
     smooth = spread.join(mean.select("run_id", "threshold", F.col("i").alias("at"), "f1"), ["run_id", "threshold", "at"]).groupBy("run_id", "threshold", "i").agg(F.avg("f1").alias("s"))
     best = smooth.groupBy("run_id", "threshold").agg(F.max(F.struct(F.round("s", 12).alias("s"), (-F.col("i")).alias("minus"))).alias("m")).select("run_id", "threshold", (-F.col("m.minus")).alias("i"))
     return grid.join(best, ["run_id", "threshold", "i"]).select("run_id", "cls", "threshold", (F.col("i") / (PLACES - 1)).alias("score"), "precision", "recall", "f1")
+
+
+def format_report(runs: DataFrame, form: str, score: str, seconds: str) -> DataFrame:
+    """Per format: runs, best and mean score, runs without a score, and mean time in milliseconds."""
+    per = runs.groupBy(form).agg(F.count(F.lit(1)).alias("runs"), F.max(score).alias("best"), F.avg(score).alias("mean"), F.count_if(F.col(score).isNull()).alias("failed"), (1000 * F.avg(seconds)).alias("ms"))
+    return per.select(form, "runs", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"), "failed", F.round("ms", 4).alias("ms"))

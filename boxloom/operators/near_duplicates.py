@@ -4,18 +4,20 @@ A thumbnail is 64 cells of four bits, written as 64 hex digits; anything else ta
 at least 1, 2 .. 15?) it has 960 bits, and the gaps of two thumbnails add up to the number of bits in which they
 differ. The bits are dealt over one block more than the greatest sum of gaps, so a pair within the limits has at least
 one block in which no bit differs: blocking loses nothing. Thumbnails that share a block are compared in full, all
-with all; copies of one thumbnail count as one and hang on their first image.
+with all; copies of one thumbnail count as one and hang on their first image. Limits are tighter across sources than within one,
+and numbered frames of one video are never tied for their looks alone.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.operators.audit import components
-from boxloom.operators.ranking import lookup
+from boxloom.operators.audit import component_edges, components
+from boxloom.operators.ranking import lookup, meet
 from boxloom.runtime import settle
 
 CELLS, LEVELS = 64, 15
@@ -96,22 +98,64 @@ def candidates(words: DataFrame, most_sum: int) -> DataFrame:
     return a.join(b, (F.col("a.meeting") == F.col("b.meeting")) & (F.col("a.vid") < F.col("b.vid")) & (apart <= most_sum)).select(F.col("a.vid").alias("a"), F.col("b.vid").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, words: DataFrame, mean: float, most: int) -> DataFrame:
-    """Pairs whose cells differ by at most ``mean`` on average and at most ``most`` anywhere, with the mean, as ``a, b`` of first images."""
-    side = lambda n: words.select(F.col("vid").alias(n), F.col("first").alias(f"{n}_first"), F.struct(*[f"w{t}" for t in range(1, LEVELS + 1)]).alias(f"{n}_w"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a_first", "b_first", *[F.col(f"a_w.w{t}").bitwiseXOR(F.col(f"b_w.w{t}")).alias(f"d{t}") for t in range(1, LEVELS + 1)])
-    gap = sum((F.bit_count(f"d{t}") for t in range(1, LEVELS + 1)), F.lit(0)) / CELLS
-    # the levels in which a cell differs are consecutive, so a gap above most has two that lie most apart
-    far = [F.col(f"d{t}").bitwiseAND(F.col(f"d{t + most}")) for t in range(1, LEVELS + 1 - most)]
-    told = both.filter(_or(far) == 0) if far else both
-    return told.select(F.col("a_first").alias("a"), F.col("b_first").alias("b"), gap.alias("mean_gap")).filter(F.col("mean_gap") <= mean)
+@dataclass
+class Gaps:
+    """Greatest mean and greatest 99th percentile of the gaps between cells; the second pair holds across sources."""
 
+    mean: float = 0.5
+    p99: float = 4.0
+    mean_across: float = 0.1
+    p99_across: float = 2.0
 
-def groups(images: DataFrame, key: str, thumb: str, mean: float = 0.5, most: int = 8) -> DataFrame:
-    """``node, component`` of images tied by verified pairs."""
-    vecs, copies = distinct_thumbs(images, key, thumb)
+
+def verified(pairs: DataFrame, words: DataFrame, gaps: Gaps) -> DataFrame:
+    """``a, b`` (``vid``) of pairs within the limits of one source, with ``mean_gap``, ``p99_gap`` and ``tight``: within those across sources too."""
+    side = lambda n: words.select(F.col("vid").alias(n), F.array(*[f"w{t}" for t in range(1, LEVELS + 1)]).alias(f"{n}_w"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.zip_with("a_w", "b_w", lambda x, y: x.bitwiseXOR(y)).alias("d"))
+    mean = F.aggregate("d", F.lit(0), lambda n, x: n + F.bit_count(x)) / CELLS
+    close = settle(both.withColumn("mean_gap", mean).filter(F.col("mean_gap") <= gaps.mean))
+    # the levels in which a cell differs follow one another, so a gap of t or more has two that lie t - 1 apart
+    spans = F.sequence(F.lit(1), F.lit(LEVELS))
+    cells = lambda t: F.aggregate(F.sequence(F.lit(0), LEVELS - t), F.lit(0).cast("bigint"), lambda n, s: n.bitwiseOR(F.get("d", s).bitwiseAND(F.get("d", s + t - 1))))
+    wide = F.transform(spans, lambda t: F.bit_count(cells(t)))
+    at_least = lambda k: F.size(F.filter("wide", lambda n: n >= k))
+    # the percentile lies between the second widest and the widest of 64 gaps
+    share = 0.99 * (CELLS - 1) % 1
+    told = close.select("a", "b", "mean_gap", wide.alias("wide")).select("a", "b", "mean_gap", (at_least(2) + share * (at_least(1) - at_least(2))).alias("p99_gap"))
+    tight = (F.col("mean_gap") <= min(gaps.mean, gaps.mean_across)) & (F.col("p99_gap") <= min(gaps.p99, gaps.p99_across))
+    return settle(told).filter(F.col("p99_gap") <= gaps.p99).withColumn("tight", tight)
+
+
+def _allowed(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``near`` pairs of thumbnails that may tie their images, given ``rows`` (``vid, source, numbered``).
+
+    Images of one source are held to the wider limits. Across sources the tight limits hold, and two numbered frames are
+    different observations however alike they look.
+    """
+    of_vid = rows.groupBy("vid").agg(F.bool_or(~F.col("numbered") | F.col("source").isNull()).alias("free"))
+    known = lookup(lookup(near, of_vid.select(F.col("vid").alias("a"), F.col("free").alias("a_free")), "a", "inner"), of_vid.select(F.col("vid").alias("b"), F.col("free").alias("b_free")), "b", "inner")
+    marked = settle(known.withColumn("sure", F.col("tight") & (F.col("a_free") | F.col("b_free"))))
+    # all others need a source that both have; a thumbnail meets its sources portion by portion
+    named = rows.filter("source is not null").select("vid", "source").distinct()
+    asked = meet(marked.filter("not sure").select("a", "b"), named.select(F.col("vid").alias("a"), F.col("source").alias("s")), "a")
+    shared = asked.join(named.select(F.col("vid").alias("b"), F.col("source").alias("s")), ["b", "s"], "left_semi").select("a", "b").distinct()
+    return marked.filter("sure").select("a", "b").unionByName(shared)
+
+
+def groups(images: DataFrame, gaps: Gaps | None = None) -> DataFrame:
+    """``node, component`` of ``images`` (``key, thumb, digest, source, numbered``) tied by equal digests, equal thumbnails and verified pairs.
+
+    Images that are tied to none are not listed. Any column but ``key`` may be null; a null digest, thumbnail or source
+    ties nothing.
+    """
+    gaps = gaps or Gaps()
+    vecs, copies = distinct_thumbs(images, "key", "thumb")
     words = _words(vecs)
-    near = verified(candidates(words, int(mean * CELLS)), words, mean, most).select("a", "b")
+    near = verified(candidates(words, int(gaps.mean * CELLS)), words, gaps)
+    rows = lookup(images.filter(F.col("thumb").rlike(r"^[0-9A-Fa-f]{64}\z")).select(F.lower("thumb").alias("t"), "source", "numbered"), vecs.select(F.lower(F.concat(*[F.lpad(F.hex(f"q{i}"), 16, "0") for i in range(4)])).alias("t"), "vid"), "t", "inner")
+    tied = _allowed(near, rows.select("vid", "source", "numbered"))
+    first = vecs.select("vid", "first")
+    pairs = tied.join(first.select(F.col("vid").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("vid").alias("b"), F.col("first").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    files = component_edges(images.select("key", "digest"), "key", ["digest"])
     # an image delivered with several thumbnails may be first in each of them
-    return components(settle(copies.unionByName(near).filter("a <> b")))
+    return components(settle(copies.unionByName(pairs).unionByName(files).filter("a <> b")))

@@ -30,22 +30,23 @@ inv AS (SELECT record_id, r.image AS image, {{split}} AS split, {{source}} AS so
 iv AS (SELECT *, nullif(regexp_extract(source, '^(video\\d+)_\\d+$', 1), '') AS video, CAST(nullif(regexp_extract(source, '^(video\\d+)_(\\d+)$', 2), '') AS BIGINT) AS frame, sha256(coalesce(label_signature, '')) AS label_sha256 FROM inv)"""
 
 
-def _inventory_sql() -> str:
-    """The inventory with the name rules in SQL form."""
+def _name_sql(c: str, split: str) -> tuple[str, str]:
+    """(usable split of column ``split``, plain source name of column ``c``) in SQL form."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     thin = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
     nothing = "('', '_', '__', 'n/a', 'na', '#n/a', 'none', 'null', 'nil', 'nan', 'unknown', 'undefined', '?', '??', 'unassigned', 'tbd', '(none)', 'missing')"
     trim = lambda c: f"regexp_replace({c}, '^[\\s' || chr(160) || ']+|[\\s' || chr(160) || ']+$', '', 'g')"
-    word = f"regexp_replace(lower({trim('r.s')}), '[/\\\\]+$', '')"
+    word = f"regexp_replace(lower({trim(split)}), '[/\\\\]+$', '')"
     split = f"CASE WHEN {word} IN ('train', 'training') THEN 'train' WHEN {word} IN ('valid', 'val', 'validation') THEN 'valid' WHEN {word} IN ('test', 'testing') THEN 'test' END"
-    narrow = f"translate(r.src, '{wide}', '{thin}')"
+    narrow = f"translate({c}, '{wide}', '{thin}')"
     name = f"regexp_replace(lower({trim(narrow)}), '[-\\s' || chr(160) || ']', '_', 'g')"
     bare = f"regexp_replace({name}, '(\\.rf\\.[0-9a-f]+|[._](jpe?g|png))+$', '')"
     source = f"CASE WHEN {name} NOT IN {nothing} AND {bare} NOT IN {nothing} THEN {bare} END"
-    return _INV.replace("{split}", split).replace("{source}", source)
+    return split, source
 
 
-_I = _inventory_sql()
+_SPLIT, _SOURCE = _name_sql("r.src", "r.s")
+_I = _INV.replace("{split}", _SPLIT).replace("{source}", _SOURCE)
 
 
 def inv(spark, d) -> DataFrame:

@@ -9,6 +9,7 @@ from boxloom.functions import boxes as B
 from boxloom.functions import classes as K
 from boxloom.functions import geometry as G
 from boxloom.functions import text as X
+from boxloom.functions.names import digest_hex, source_name
 from boxloom.operators import allocation, ids, near_duplicates, tiling
 from boxloom.operators import audit as A
 from boxloom.operators import experiments as E
@@ -17,7 +18,7 @@ from boxloom.operators import metrics
 from boxloom.operators.ranking import lookup, ordered_rank
 from boxloom.plans import shared_sql as S
 from boxloom.plans.dataset_queries import _I as INVENTORY
-from boxloom.plans.dataset_queries import inv
+from boxloom.plans.dataset_queries import _name_sql, inv
 from boxloom.plans.detection_queries import _BEST as BEST
 from boxloom.plans.detection_queries import predictions, r6, truth
 from boxloom.plans.experiment_queries import _B as BEST_EPOCH
@@ -91,21 +92,26 @@ def mask_overlaps(spark, d):
     return lookup(named, first, "source", "inner").filter("record_id > a").select("a", F.col("record_id").alias("b"), r6(both / (either + 1e-7), "iou"))
 
 
-@query()
+_NEAR = f"""WITH RECURSIVE im AS (SELECT DISTINCT r.record_id AS k, CASE WHEN regexp_full_match(r.thumb_sig, '[0-9a-fA-F]{{64}}') THEN lower(r.thumb_sig) END AS t, {S.digest('image_sha256')} AS d, {_name_sql('r.source_id', 'r.old_split')[1]} AS s FROM (SELECT image_sha256, unnest(records) AS r FROM audit) WHERE r.record_id IS NOT NULL),
+im2 AS (SELECT *, coalesce(regexp_full_match(s, 'video\\d+_\\d+'), false) AS numbered FROM im),
+th AS (SELECT t, list_transform(range(1, 65), lambda i: CAST(('0x' || t[i]) AS INT)) AS c, min(k) AS first, bool_or(NOT numbered OR s IS NULL) AS free, list(DISTINCT s) FILTER (s IS NOT NULL) AS sources FROM im2 WHERE t IS NOT NULL GROUP BY t),
+ts AS (SELECT *, list_sum(c) AS total FROM th),
+pr AS (SELECT a.first AS x, b.first AS y, a.free OR b.free AS free, len(list_intersect(coalesce(a.sources, []), coalesce(b.sources, []))) > 0 AS shared, list_reverse_sort(list_transform(range(1, 65), lambda i: abs(a.c[i] - b.c[i]))) AS g FROM ts a JOIN ts b ON a.t < b.t AND abs(a.total - b.total) <= 32),
+vf AS (SELECT *, list_sum(g) / 64.0 AS mean, g[2] + 0.37 * (g[1] - g[2]) AS p99 FROM pr WHERE list_sum(g) <= 32),
+e AS (SELECT x, y FROM vf WHERE mean <= 0.5 AND p99 <= 4.0 AND (shared OR free AND mean <= 0.1 AND p99 <= 2.0)
+ UNION SELECT first, k FROM th JOIN im2 USING (t) UNION SELECT f.k, i.k FROM im2 i JOIN (SELECT d, min(k) AS k FROM im2 WHERE d IS NOT NULL GROUP BY d) f ON f.d = i.d),
+u AS (SELECT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y),
+reach(x, y) AS (SELECT DISTINCT x, x FROM u UNION SELECT r.x, u.y FROM reach r JOIN u ON r.y = u.x)
+SELECT x AS record_id, min(y) AS component FROM reach GROUP BY x"""
+
+
+@query(_NEAR)
 def near_identical_groups(spark, d):
-    """Records whose thumbnails are near-identical, in components."""
-    return near_duplicates.groups(thumbs(spark, d), "record_id", "thumb").select(F.col("node").alias("record_id"), "component")
-
-
-@query("""WITH im AS (SELECT DISTINCT width, height FROM image_records WHERE width BETWEEN 1 AND 12000 AND height BETWEEN 1 AND 12000),
-la AS (SELECT width, height, layer, CAST(2 ** layer AS BIGINT) AS n, CAST(floor(least(width, height) * 0.34 * 2 / 2 ** layer) AS BIGINT) AS lap FROM im, range(0, 3) l(layer)),
-sd AS (SELECT *, CAST(ceil((width + lap * (n - 1)) / n) AS BIGINT) AS w, CAST(ceil((height + lap * (n - 1)) / n) AS BIGINT) AS h FROM la),
-ce AS (SELECT *, unnest(range(0, n)) AS i FROM sd), cf AS (SELECT *, unnest(range(0, n)) AS j FROM ce)
-SELECT width, height, CAST(layer AS INT) AS layer, CAST((w - lap) * i AS INT) AS x1, CAST((h - lap) * j AS INT) AS y1, CAST(least((w - lap) * i + w, width) AS INT) AS x2, CAST(least((h - lap) * j + h, height) AS INT) AS y2 FROM cf""")
-def crop_windows(spark, d):
-    """Two layers of overlapping crops, and the image itself, for every size of image that occurs."""
-    sizes = read_table(spark, d, "image_records").filter("width between 1 and 12000 and height between 1 and 12000").select("width", "height").distinct()
-    return sizes.select("width", "height", F.explode(G.crop_windows(F.col("width"), F.col("height"), 2, 0.34)).alias("c")).select("width", "height", "c.*")
+    """Records whose files, thumbnails or nearly equal thumbnails tie them, in components; limits are tighter across sources."""
+    r = read_table(spark, d, "audit").select(digest_hex(F.col("image_sha256")).alias("digest"), F.explode("records").alias("r")).filter("r.record_id is not null")
+    source = source_name(F.col("r.source_id"))
+    images = r.select(F.col("r.record_id").alias("key"), F.when(F.col("r.thumb_sig").rlike(r"^[0-9a-fA-F]{64}\z"), F.lower("r.thumb_sig")).alias("thumb"), "digest", source.alias("source"), F.coalesce(source.rlike(r"^video\d+_\d+\z"), F.lit(False)).alias("numbered")).distinct()
+    return near_duplicates.groups(settle(images)).select(F.col("node").alias("record_id"), "component")
 
 
 @query(f"WITH {S.GT}, o AS (SELECT image_id, box_no, cls, row_number() OVER (ORDER BY image_id, box_no) AS annotation_id FROM gt) SELECT * FROM o")

@@ -16,6 +16,15 @@ def good_lines(c: str) -> str:
     return f"len(list_filter({lines(c)}, lambda l: regexp_full_match(l, '{_LINE}')))"
 
 
+def digest(c: str) -> str:
+    """A digest in plain hex from any notation, as SQL."""
+    trimmed = f"regexp_replace({c}, '^[\\s' || chr(160) || ']+|[\\s' || chr(160) || ']+$', '', 'g')"
+    bare = f"regexp_replace({trimmed}, '^(?i:sha-?256)\\s*[:=-]?\\s*', '')"
+    hexed = f"regexp_replace(regexp_replace(lower({bare}), '^0x', ''), '[:\\-\\s]', '', 'g')"
+    base = f"rtrim(translate({bare}, '-_', '+/'), '=')"
+    return f"CASE WHEN regexp_full_match({hexed}, '[0-9a-f]{{16,64}}') THEN {hexed} WHEN regexp_full_match({base}, '[A-Za-z0-9+/]{{43}}') THEN lower(hex(from_base64({base} || '='))) END"
+
+
 #: Truth boxes in corners, pixels.
 GT = f"""
 once AS (SELECT record_id, max(struct_pack(s := label_signature, w := width, h := height)) AS r FROM image_records WHERE record_id IS NOT NULL GROUP BY record_id),

@@ -4,7 +4,7 @@ import pytest
 
 from tests.compare import connect, same
 
-MODULES = ["core_data", "detection_queries", "dataset_queries", "experiment_queries", "frame_queries", "more_queries"]
+MODULES = ["core_data", "detection_queries", "dataset_queries", "experiment_queries", "frame_queries", "more_queries", "task_queries"]
 LOADED = [importlib.import_module(f"boxloom.plans.{m}") for m in MODULES if importlib.util.find_spec(f"boxloom.plans.{m}")]
 QUERIES = {n: q for m in LOADED for n, q in m.QUERIES.items()}
 SQL = {n: q for m in LOADED for n, q in m.SQL.items()}
