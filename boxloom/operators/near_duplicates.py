@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.functions.names import let
 from boxloom.operators.audit import component_edges, components
 from boxloom.operators.ranking import lookup, meet
 from boxloom.runtime import settle
@@ -109,21 +110,21 @@ class Gaps:
 
 
 def verified(pairs: DataFrame, words: DataFrame, gaps: Gaps) -> DataFrame:
-    """``a, b`` (``vid``) of pairs within the limits of one source, with ``mean_gap``, ``p99_gap`` and ``tight``: within those across sources too."""
+    """``a, b`` (``vid``) of pairs within the limits of one source, with ``tight``: within those across sources too."""
     side = lambda n: words.select(F.col("vid").alias(n), F.array(*[f"w{t}" for t in range(1, LEVELS + 1)]).alias(f"{n}_w"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.zip_with("a_w", "b_w", lambda x, y: x.bitwiseXOR(y)).alias("d"))
     mean = F.aggregate("d", F.lit(0), lambda n, x: n + F.bit_count(x)) / CELLS
-    close = settle(both.withColumn("mean_gap", mean).filter(F.col("mean_gap") <= gaps.mean))
+    close = both.withColumn("mean_gap", mean).filter(F.col("mean_gap") <= gaps.mean)
     # the levels in which a cell differs follow one another, so a gap of t or more has two that lie t - 1 apart
     spans = F.sequence(F.lit(1), F.lit(LEVELS))
     cells = lambda t: F.aggregate(F.sequence(F.lit(0), LEVELS - t), F.lit(0).cast("bigint"), lambda n, s: n.bitwiseOR(F.get("d", s).bitwiseAND(F.get("d", s + t - 1))))
     wide = F.transform(spans, lambda t: F.bit_count(cells(t)))
-    at_least = lambda k: F.size(F.filter("wide", lambda n: n >= k))
+    at_least = lambda w, k: F.size(F.filter(w, lambda n: n >= k))
     # the percentile lies between the second widest and the widest of 64 gaps
     share = 0.99 * (CELLS - 1) % 1
-    told = close.select("a", "b", "mean_gap", wide.alias("wide")).select("a", "b", "mean_gap", (at_least(2) + share * (at_least(1) - at_least(2))).alias("p99_gap"))
+    told = close.select("a", "b", "mean_gap", let(wide, lambda w: (1 - share) * at_least(w, 2) + share * at_least(w, 1)).alias("p99_gap"))
     tight = (F.col("mean_gap") <= min(gaps.mean, gaps.mean_across)) & (F.col("p99_gap") <= min(gaps.p99, gaps.p99_across))
-    return settle(told).filter(F.col("p99_gap") <= gaps.p99).withColumn("tight", tight)
+    return settle(told.filter(F.col("p99_gap") <= gaps.p99).select("a", "b", tight.alias("tight")))
 
 
 def _allowed(near: DataFrame, rows: DataFrame) -> DataFrame:
@@ -152,8 +153,11 @@ def groups(images: DataFrame, gaps: Gaps | None = None) -> DataFrame:
     vecs, copies = distinct_thumbs(images, "key", "thumb")
     words = _words(vecs)
     near = verified(candidates(words, int(gaps.mean * CELLS)), words, gaps)
-    rows = lookup(images.filter(F.col("thumb").rlike(r"^[0-9A-Fa-f]{64}\z")).select(F.lower("thumb").alias("t"), "source", "numbered"), vecs.select(F.lower(F.concat(*[F.lpad(F.hex(f"q{i}"), 16, "0") for i in range(4)])).alias("t"), "vid"), "t", "inner")
-    tied = _allowed(near, rows.select("vid", "source", "numbered"))
+    # sources are looked up for thumbnails in some pair only
+    paired = near.select(F.explode(F.array("a", "b")).alias("vid")).distinct().join(vecs, "vid")
+    named = settle(paired.select(F.lower(F.concat(*[F.lpad(F.hex(f"q{i}"), 16, "0") for i in range(4)])).alias("t"), "vid"))
+    rows = settle(images.select(F.lower("thumb").alias("t"), "source", "numbered").join(named, "t").select("vid", "source", "numbered").distinct())
+    tied = _allowed(near, rows)
     first = vecs.select("vid", "first")
     pairs = tied.join(first.select(F.col("vid").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("vid").alias("b"), F.col("first").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     files = component_edges(images.select("key", "digest"), "key", ["digest"])
