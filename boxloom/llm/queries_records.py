@@ -67,13 +67,14 @@ def _error(targets: DataFrame) -> float:
     return targets.agg(F.min("error")).first()[0] or 0.0
 
 
-_NAMES = [F.col("grp").alias("old_split"), F.col("measure").alias("measure_name"), "pct", F.col("total").alias("n")]
+def _names() -> list:
+    return [F.col("grp").alias("old_split"), F.col("measure").alias("measure_name"), "pct", F.col("total").alias("n")]
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of width and height per split by radix selection over daily partials."""
     out = percentiles.radix_percentiles(percentiles.sizes_by_day(read_table(spark, sf_dir, "image_records")), _targets(spark, sf_dir))
-    return out.select(*_NAMES, percentiles.value_of(F.col("key")).cast("bigint").alias("value"))
+    return out.select(*_names(), percentiles.value_of(F.col("key")).cast("bigint").alias("value"))
 
 
 def p4_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ def p4_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _targets(spark, sf_dir)
     digits = percentiles.daily_digits(percentiles.sizes_by_day(read_table(spark, sf_dir, "image_records")), _error(targets))
     out = percentiles.percentiles_of(digits, targets)
-    return out.select(*_NAMES, *[percentiles.value_of(F.col(c)).alias(c) for c in ("lo", "hi")], "rank_error")
+    return out.select(*_names(), *[percentiles.value_of(F.col(c)).alias(c) for c in ("lo", "hi")], "rank_error")
 
 
 def p4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ def p4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     for day in (F.coalesce(F.col("part") < F.lit(last), F.lit(True)), F.col("part") == F.lit(last)):
         percentiles.daily_digits(values.filter(day), error).write.mode("append").parquet(kept)
     out = percentiles.percentiles_of(spark.read.parquet(kept), targets)
-    return out.select(*_NAMES, percentiles.value_of(F.col("lo")).cast("bigint").alias("value"))
+    return out.select(*_names(), percentiles.value_of(F.col("lo")).cast("bigint").alias("value"))
 
 
 def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the percentile lies between the bounds, and each bound's own ranks come as near to the one asked for as stated
     off = lambda below, upto: F.greatest(below + 1 - rank, rank - upto, F.lit(0)) / F.col("total")
     held = (F.col("under_lo") < rank) & (rank <= F.col("upto_hi")) & (F.greatest(off(F.col("under_lo"), F.col("upto_lo")), off(F.col("under_hi"), F.col("upto_hi"))) <= F.col("rank_error") + 1e-12) & (F.col("rank_error") <= F.col("asked"))
-    return seen.select(*_NAMES, held.alias("within"))
+    return seen.select(*_names(), held.alias("within"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_forest": p1_forest, "p1_shares": p1_shares, "p1_checks": p1_checks, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_percentiles": p4_percentiles, "p4_bounded": p4_bounded, "p4_merged": p4_merged, "p4_checks": p4_checks}
