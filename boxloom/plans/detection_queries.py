@@ -228,13 +228,35 @@ def greedy_nms(spark, d):
     return kept.select("run_id", "image_id", "cls", "det")
 
 
-@query()
+_PIPE = _NMS.replace("SELECT *, row_number() OVER (PARTITION BY run_id, image_id, cls ORDER BY det) AS k FROM det WHERE score > 0.25", "SELECT *, row_number() OVER (PARTITION BY run_id, image_id, cls ORDER BY det) AS k FROM strong").replace("s AS (SELECT", "strong AS (SELECT * EXCLUDE det, row_number() OVER (PARTITION BY run_id, image_id ORDER BY score DESC, cls, x1, y1, x2, y2) AS det FROM det WHERE score > 0.1 AND cls = 0), s AS (SELECT", 1).replace("+ 1e-7) > 0.5", "+ 1e-7) > 0.7")
+_PIPE = f"SELECT k.*, s.score FROM ({_PIPE}) k JOIN (SELECT run_id, image_id, row_number() OVER (PARTITION BY run_id, image_id ORDER BY score DESC, cls, x1, y1, x2, y2) AS det, score FROM (WITH {S.DET} SELECT * FROM det WHERE score > 0.1 AND cls = 0)) s USING (run_id, image_id, det) QUALIFY row_number() OVER (PARTITION BY k.run_id, k.image_id ORDER BY k.det) <= 300"
+
+
+@query(_PIPE)
 def suppression_pipeline(spark, d):
     """Score limit, class choice, rank, suppression and limit per image in one plan."""
     return M.suppress(D.predicted_boxes(read_table(spark, d, "detections")), 0.1, 0.7, [0], 300).select("run_id", "image_id", "cls", "det", "score")
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE {S.GT}, {S.DET}, {S.PAIRS}, ok AS (SELECT * FROM pairs WHERE iou >= 0.5),
+cand AS (SELECT d.run_id, d.image_id, d.det, coalesce(list(o.gt ORDER BY o.iou DESC, o.gt) FILTER (o.gt IS NOT NULL), []) AS gts FROM det d LEFT JOIN ok o ON o.run_id = d.run_id AND o.image_id = d.image_id AND o.det = d.det GROUP BY ALL),
+walk(run_id, image_id, k, used) AS (
+  SELECT run_id, image_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT run_id, image_id FROM det)
+  UNION ALL
+  SELECT w.run_id, w.image_id, c.det, list_concat(w.used, list_filter(c.gts, lambda g: NOT list_contains(w.used, g))[1:1]) FROM walk w JOIN cand c ON c.run_id = w.run_id AND c.image_id = w.image_id AND c.det = w.k + 1),
+hit AS (SELECT run_id, image_id, len(arg_max(used, k)) AS tp FROM walk GROUP BY ALL),
+ord AS (SELECT *, row_number() OVER (PARTITION BY run_id, image_id ORDER BY iou DESC, gt DESC, det DESC) AS r FROM ok),
+turn(run_id, image_id, r, dets, gts) AS (
+  SELECT run_id, image_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT run_id, image_id FROM det)
+  UNION ALL
+  SELECT t.run_id, t.image_id, o.r, CASE WHEN list_contains(t.dets, o.det) OR list_contains(t.gts, o.gt) THEN t.dets ELSE list_append(t.dets, o.det) END, CASE WHEN list_contains(t.dets, o.det) OR list_contains(t.gts, o.gt) THEN t.gts ELSE list_append(t.gts, o.gt) END
+  FROM turn t JOIN ord o ON o.run_id = t.run_id AND o.image_id = t.image_id AND o.r = t.r + 1),
+over AS (SELECT run_id, image_id, len(arg_max(dets, r)) AS tp_overlap FROM turn GROUP BY ALL),
+nd AS (SELECT run_id, image_id, count(*) AS n FROM det GROUP BY ALL), ng AS (SELECT image_id, count(*) AS n FROM gt GROUP BY ALL)
+SELECT run_id, image_id, CAST(tp AS INT) AS tp, CAST(nd.n - tp AS INT) AS fp, CAST(coalesce(ng.n, 0) - tp AS INT) AS fn, CAST(tp_overlap AS INT) AS tp_overlap FROM hit JOIN over USING (run_id, image_id) JOIN nd USING (run_id, image_id) LEFT JOIN ng USING (image_id)"""
+
+
+@query(_GREEDY)
 def greedy_matches(spark, d):
     """Hits per image by the confidence-greedy and the overlap-first matcher."""
     return M.greedy_hits(predictions(spark, d), truth(spark, d))
@@ -246,6 +268,25 @@ def optimal_assignment(spark, d):
     return M.set_match(predictions(spark, d), truth(spark, d))
 
 
+@query(f"WITH {S.GT}, {S.DET}, nd AS (SELECT run_id, image_id, count(*) AS n FROM det GROUP BY ALL), ng AS (SELECT image_id, count(*) AS n FROM gt GROUP BY ALL) SELECT run_id, image_id, least(nd.n, ng.n) AS pairs, 0 AS repeated, true AS no_swap FROM nd JOIN ng USING (image_id)")
+def assignment_checks(spark, d):
+    """Per image what must hold for the optimal assignment: all of the smaller side is assigned, nothing twice, and no two pairs gain by swapping."""
+    p, t = settle(predictions(spark, d)), settle(truth(spark, d))
+    made = settle(M.set_match(p, t))
+    side = lambda df, n: df.select(*(["run_id"] if n == "det" else []), "image_id", n, *[F.col(c).alias(f"{n}_{c}") for c in ("x1", "y1", "x2", "y2")])
+    whole = made.join(side(p, "det"), ["run_id", "image_id", "det"]).join(side(t, "gt"), ["image_id", "gt"])
+    box = lambda n, k: tuple(F.col(f"{n}.{k}_{c}") for c in ("x1", "y1", "x2", "y2"))
+
+    def cost(x, y):
+        a, b = box(x, "det"), box(y, "gt")
+        return 5.0 * sum((F.abs(u - v) for u, v in zip(a, b)), F.lit(0.0)) / 4 / 1000 + 2.0 * (1 - B.iou(a, b))
+
+    two = whole.alias("a").join(whole.alias("b"), (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.det") < F.col("b.det")))
+    gain = two.select(F.col("a.run_id").alias("run_id"), F.col("a.image_id").alias("image_id"), (cost("a", "a") + cost("b", "b") - cost("a", "b") - cost("b", "a") > 1e-9).alias("gain")).groupBy("run_id", "image_id").agg(F.count_if("gain").alias("swaps"))
+    per = made.groupBy("run_id", "image_id").agg(F.count(F.lit(1)).alias("pairs"), (2 * F.count(F.lit(1)) - F.count_distinct("det") - F.count_distinct("gt")).alias("repeated"))
+    return per.join(gain, ["run_id", "image_id"], "left").select("run_id", "image_id", "pairs", "repeated", (F.coalesce("swaps", F.lit(0)) == 0).alias("no_swap"))
+
+
 _BEST = f"{S.GT}, {S.DET}, {S.PAIRS}, b AS (SELECT s.run_id, s.image_id, g.gt, coalesce(max(p.iou), 0.0) AS best_iou, coalesce(first(p.score ORDER BY p.iou DESC, p.det), 0.0) AS best_score FROM (SELECT DISTINCT run_id, image_id FROM det) s JOIN gt g ON g.image_id = s.image_id LEFT JOIN pairs p ON p.run_id = s.run_id AND p.image_id = s.image_id AND p.gt = g.gt GROUP BY ALL)"
 
 

@@ -126,14 +126,32 @@ def class_split(spark, d):
     return allocation.class_split(inv(spark, d).select("record_id", "dataset"), "record_id", "dataset", 0.8)
 
 
-@query()
-def split_trials(spark, d):
-    """Components of records with a common source or video, loose records included, dealt to splits by the best of 16 seeded trials over images and boxes."""
+def _dealt(spark, d):
+    """(records with their component, the split of each component)."""
     rows = settle(inv(spark, d).select("record_id", "source", "video", "instances"))
     tied = A.components(A.component_edges(rows, "record_id", ["source", "video"])).select(F.col("node").alias("record_id"), "component")
-    named = rows.join(tied, "record_id", "left").withColumn("component", F.coalesce("component", "record_id"))
+    named = settle(rows.join(tied, "record_id", "left").withColumn("component", F.coalesce("component", "record_id")))
     sizes = settle(named.groupBy("component").agg(F.count(F.lit(1)).alias("images"), F.sum("instances").alias("boxes"), F.count_if(F.col("instances") == 0).alias("empty"), F.count_if(F.col("video").isNotNull()).alias("frames")))
-    return allocation.allocate(sizes, "component", ["images", "boxes", "empty", "frames"], {"train": 0.7, "valid": 0.15, "test": 0.15}, 16, 7, [5.0, 2.0, 0.5, 1.0], "frames").select("component", "split")
+    return named, allocation.allocate(sizes, "component", ["images", "boxes", "empty", "frames"], {"train": 0.7, "valid": 0.15, "test": 0.15}, 16, 7, [5.0, 2.0, 0.5, 1.0], "frames").select("component", "split")
+
+
+@query()
+def split_trials(spark, d):
+    """Components of records with a common source or video, loose records included, dealt to splits by the best of 16 seeded trials over images and boxes."""
+    return _dealt(spark, d)[1]
+
+
+@query(f"WITH {INVENTORY} SELECT count(*) AS records, 0 AS torn_sources, 0 AS torn_videos, 0 AS far_splits, 3 AS covered FROM iv")
+def split_checks(spark, d):
+    """What must hold for these: all records dealt, no source or video in two splits, shares within two percent, frames of videos in each split."""
+    named, made = _dealt(spark, d)
+    whole = settle(lookup(named, made, "component", "inner"))
+    torn = lambda c: whole.filter(F.col(c).isNotNull()).groupBy(c).agg((F.min("split") != F.max("split")).alias("t")).agg(F.count_if("t").alias(f"torn_{c}s"))
+    goal = F.when(F.col("split") == "train", 0.7).otherwise(0.15)
+    total = whole.agg(F.count(F.lit(1)).alias("records"))
+    per = whole.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("video").isNotNull()).alias("frames")).join(F.broadcast(total))
+    shares = per.agg(F.count_if(F.abs(F.col("n") / F.col("records") - goal) > 0.02).alias("far_splits"), F.count_if(F.col("frames") > 0).alias("covered"))
+    return total.join(F.broadcast(torn("source"))).join(F.broadcast(torn("video"))).join(F.broadcast(shares))
 
 
 @query(f"WITH {INVENTORY}, f AS (SELECT image_sha256, min(record_id) AS first FROM iv WHERE image_sha256 IS NOT NULL GROUP BY 1) SELECT i.record_id, CASE WHEN f.first <> i.record_id THEN f.first END AS reused_from FROM iv i LEFT JOIN f ON f.image_sha256 = i.image_sha256")
