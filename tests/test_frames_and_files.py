@@ -13,7 +13,7 @@ from boxloom.operators import frames as R
 from boxloom.operators import ids, near_duplicates, search
 from boxloom.operators import tracking as T
 from boxloom.sources import readers, writers
-from boxloom.streaming import trackers, windows
+from boxloom.streaming import counters, trackers, windows
 
 
 def positions(spark, rows):
@@ -159,6 +159,34 @@ def test_stream_of_crossings_and_late_rows(spark, tmp_path):
     assert [r["n"] for r in spark.table("counted").collect()] == [2]
 
 
+def test_streaming_counters_agree_with_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = np.random.default_rng(8)
+    p = positions(spark, [(int(t), f, float(v), float(w)) for t in range(6) for f, (v, w) in enumerate(rng.integers(-8, 20, (12, 2)), 1)]).cache()
+    for lo, hi in ((1, 5), (6, 12)):
+        p.filter(F.col("frame_no").between(lo, hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name, make, mode):
+        s = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = make(s).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name)
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(run("heat", lambda s: counters.heat_stream(s, 2, 10), "complete").select("stream", "cx", "cy", "heat")) == rows(R.heat(p, 2, 10))
+    held = R.region_counts(p, {"a": SQUARE})
+    told = {(r["frame_no"], r["n"]) for r in run("regions", lambda s: counters.region_stream(s, {"a": SQUARE}), "complete").collect()}
+    assert told and told <= {(r["frame_no"], r["n"]) for r in held.collect()}
+    e = run("events", lambda s: counters.event_stream(s, counters.TrackEvents(SQUARE, 0.0, 10.0)), "append").cache()
+    kind = lambda k: e.filter(F.col("kind") == k)
+    assert rows(kind("entry").select("track_id", "frame_no", F.when(F.col("value") > 0, "in").otherwise("out"))) == rows(R.count_entries(p, SQUARE).select("track_id", "frame_no", "direction"))
+    assert rows(kind("waiting").groupBy("frame_no").count()) == rows(R.queue_lengths(p, SQUARE).filter("n > 0").select("frame_no", "n"))
+    assert rows(kind("speed").select("track_id", "frame_no", F.col("value").cast("int"))) == rows(R.speeds(p).select("track_id", "fixed_at", "kmh"))
+    turns = R.repetitions(p, "x", 0.0, 10.0).groupBy("track_id").agg(F.max("count").cast("int").alias("n")).filter("n > 0")
+    assert rows(kind("turn").groupBy("track_id").agg(F.max("value").cast("int"))) == rows(turns) and kind("late").count() == 0
+    assert rows(run("alarm", lambda s: counters.alarm_stream(s, 6), "append")) == rows(R.alarms(p, 6))
+
+
 def test_stride(spark, tmp_path):
     df = spark.range(10).select(F.col("id").alias("frame_no"))
     df.coalesce(1).write.parquet(str(tmp_path / "f"))

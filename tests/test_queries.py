@@ -1,4 +1,7 @@
 import importlib
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -22,7 +25,13 @@ def test_equals_sql(spark, tables, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, tables, name):
-    assert QUERIES[name](spark, tables).count() >= 0
+    df = QUERIES[name](spark, tables)
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_import_needs_no_session():
+    code = "import __spark_entry__ as d; assert set(d.oracle_sql()) <= set(d.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True).returncode == 0
 
 
 def test_entry(spark):
