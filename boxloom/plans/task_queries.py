@@ -16,7 +16,8 @@ from boxloom.plans import shared_sql as S
 from boxloom.plans.detection_queries import _AP, _T, predictions, r6, truth
 from boxloom.plans.more_queries import thumbs
 from boxloom.plans.registry import Registry
-from boxloom.runtime import read_table, settle
+from boxloom.runtime import read_table, scratch_path, settle
+from boxloom.sources import readers
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -139,3 +140,38 @@ def format_report(spark, d):
     runs = log.groupBy("run_id").agg(F.max("metric_map50_95").alias("score"), F.avg("elapsed_s").alias("seconds"))
     named = runs.withColumn("format", F.element_at(F.array(*[F.lit(x) for x in ("onnx", "torchscript", "engine")]), F.right("run_id", F.lit(1)).cast("int") % 3 + 1))
     return E.format_report(named, "format", "score", "seconds")
+
+
+_IMAGES = f"""{_TH}, im AS (SELECT record_id, t, CASE record_id % 4 WHEN 0 THEN 'ffd8ff' WHEN 1 THEN '89504e470d0a1a0a' WHEN 2 THEN '424d' ELSE '474946' END AS magic, record_id % 5 <> 0 AS whole, 1 + record_id % 8 AS turn FROM th)"""
+
+
+@query(f"WITH {_IMAGES} SELECT record_id, CASE record_id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'bmp' END AS kind, CASE record_id % 4 WHEN 0 THEN whole WHEN 3 THEN false ELSE true END AS ok, CASE WHEN turn IN (6, 8) THEN 3 ELSE 4 END AS width, CASE WHEN turn IN (6, 8) THEN 4 ELSE 3 END AS height FROM im")
+def image_headers(spark, d):
+    """Kind, wholeness and turned size of image files made of the thumbnails, some of them cut or of no known kind."""
+    n = F.col("record_id")
+    magic = F.element_at(F.array(*[F.lit(x) for x in ("FFD8FF", "89504E470D0A1A0A", "424D", "474946")]), (n % 4 + 1).cast("int"))
+    files = thumbs(spark, d).select("record_id", F.unhex(F.concat(magic, "thumb", F.when(n % 5 != 0, "FFD9").otherwise("00"))).alias("content"))
+    header = readers.image_header(F.col("content"))
+    width, height = readers.turned_size(F.lit(4), F.lit(3), 1 + n % 8)
+    return files.select("record_id", header["kind"].alias("kind"), header["ok"].alias("ok"), width.alias("width"), height.alias("height"))
+
+
+@query(f"WITH {S.GT} SELECT image_id || '_' || box_no AS name, [round(x1, 3), round(y1, 3), round(x2, 3), round(y1, 3), round(x2, 3), round(y2, 3), round(x1, 3), round(y2, 3)] AS corners FROM gt")
+def rotated_round_trip(spark, d):
+    """Truth boxes as files of eight coordinates and a name per line, written and read again."""
+    path = scratch_path(spark, "rotated")
+    r = lambda c: F.round(c, 3)
+    line = F.concat_ws(" ", *[r(c).cast("string") for c in ("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")], F.concat("image_id", F.lit("_"), "box_no"))
+    truth(spark, d).select(line.alias("value")).write.text(path)
+    return readers.read_rotated(spark, path).select("name", F.transform("corners", lambda c: F.round(c, 3)).alias("corners"))
+
+
+@query(f"WITH {S.GT} SELECT image_id AS filename, CAST(width AS INT) AS width, CAST(height AS INT) AS height, CAST(box_no AS VARCHAR) AS name, round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM gt")
+def voc_round_trip(spark, d):
+    """Truth boxes as annotation files in XML, one element per image, written and read again."""
+    path = scratch_path(spark, "voc")
+    r = lambda c: F.round(c, 3)
+    box = F.struct(r("x1").alias("xmin"), r("y1").alias("ymin"), r("x2").alias("xmax"), r("y2").alias("ymax"))
+    objects = truth(spark, d).groupBy(F.col("image_id").alias("filename"), F.struct("width", "height").alias("size")).agg(F.collect_list(F.struct(F.col("box_no").cast("string").alias("name"), box.alias("bndbox"))).alias("object"))
+    objects.write.format("xml").option("rowTag", "annotation").save(path)
+    return readers.read_voc(spark, path)

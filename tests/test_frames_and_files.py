@@ -12,8 +12,8 @@ from boxloom.operators import experiments as E
 from boxloom.operators import frames as R
 from boxloom.operators import ids, near_duplicates, search
 from boxloom.operators import tracking as T
-from boxloom.sources import readers, writers
-from boxloom.streaming import counters, trackers, windows
+from boxloom.sources import datasets, readers, writers
+from boxloom.streaming import counters, recovery, trackers, windows
 
 
 def positions(spark, rows):
@@ -342,3 +342,40 @@ def test_near_identical_pairs_in_portions(spark, monkeypatch):
     got = {tuple(sorted((first[r["a"]], first[r["b"]]))) for r in near_duplicates.verified(near_duplicates.candidates(words, 28), words, near_duplicates.Gaps(28 / 64, 8)).collect()}
     gap = np.abs(cells[:, None] - cells[None]).sum(2)
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if gap[i, j] <= 28} and len(got) > 50
+
+
+def test_dataset_descriptions(spark, tmp_path):
+    text = "# kites\npath: data/kites  # below the file\ntrain: [a/images, b/images]\nval: images/val\ntest:\n  - images/test\nnc: 2\nnames:\n  0: kite\n  1: 'drone: big'\n"
+    (tmp_path / "d.yaml").write_text(text)
+    got = datasets.read_description(spark, str(tmp_path / "d.yaml"))
+    home = f"{tmp_path}/data/kites"
+    assert got.splits == {"train": [f"{home}/a/images", f"{home}/b/images"], "val": [f"{home}/images/val"], "test": [f"{home}/images/test"]}
+    assert got.names == {0: "kite", 1: "drone: big"}
+    told = datasets.described({"train": "/abs/t", "validation": "s3://x/v", "nc": 2}, "/home")
+    assert told.splits == {"train": ["/abs/t"], "val": ["s3://x/v"]} and told.names == {0: "class_0", 1: "class_1"}
+    for bad in ({"train": "a", "nc": 1}, {"train": "a", "val": "b"}, {"train": "a", "val": "b", "nc": 2, "names": ["x"]}, {"train": "a", "val": "b", "names": {1: "x"}}):
+        with pytest.raises(ValueError):
+            datasets.described(bad, "/")
+    with pytest.raises(ValueError):
+        datasets.parse("no entry at all")
+    paths = spark.createDataFrame([("r/train/a/1.jpg",), ("r/train/a/2.jpg",), ("r/valid/b/3.jpg",), ("x",), (None,)], "path string")
+    assert sorted(map(tuple, datasets.class_layout(paths).collect())) == [("test", "b", 1), ("train", "a", 2), ("val", "b", 1)]
+
+
+def test_failed_streams_start_again(spark, tmp_path):
+    spark.range(6).coalesce(1).write.parquet(str(tmp_path / "in"))
+    tries = []
+
+    def start(most):
+        def batch(df, n):
+            tries.append(n)
+            if len(tries) <= most:
+                raise ValueError("lost")
+
+        return spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / f"c{most}")).trigger(availableNow=True).start()
+
+    assert recovery.run_with_restarts(lambda: start(2)) == 2 and tries == [0, 0, 0]
+    tries.clear()
+    with pytest.raises(Exception, match="lost"):
+        recovery.run_with_restarts(lambda: start(9), restarts=1)
+    assert len(tries) == 2
